@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from quillon.llm import exact_dedup, mixing
+from quillon.llm import exact_dedup, mixing, packing, token_files
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_packing": packing.op3_packing,
+    "op5_token_files": token_files.op5_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLE_SQL = {
