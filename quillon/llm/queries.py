@@ -1,9 +1,10 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from quillon.llm import exact_dedup, mixing, packing, token_files
+from quillon.llm import exact_dedup, minhash, mixing, packing, token_files
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_near_dedup": minhash.op2_near_dedup,
     "op3_packing": packing.op3_packing,
     "op5_token_files": token_files.op5_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
