@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from quillon.llm import exact_dedup, minhash, mixing, packing, token_files
+from quillon.llm import exact_dedup, minhash, mixing, packing, substring_dedup, token_files
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,8 +8,10 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_token_files": token_files.op5_token_files,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

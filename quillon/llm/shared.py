@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +52,9 @@ def partitions(spark: SparkSession) -> int:
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns of ``docs``; columns beyond them never meet the operators' own names."""
     return docs.select(*[F.col(f"`{n}`") for n in names])
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, so shuffle files of finished jobs are deleted now instead of some time later."""
+    gc.collect()
+    spark._jvm.System.gc()
