@@ -44,7 +44,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         .withColumn("total", F.sum("source_size").over(Window.partitionBy()))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after))
         .withColumn("fits", F.col("level") <= F.col("fill"))
-        .withColumn("final", F.min(F.when(F.col("fits"), F.col("level"))).over(Window.partitionBy()))
+        .withColumn("final", F.min_by("level", F.when(F.col("fits"), F.col("fill"))).over(Window.partitionBy()))
     )
     first = F.min(F.when(F.col("fits"), F.col("fill"))).over(Window.partitionBy())
     target = F.when(F.col("fill") >= first, F.col("final") * F.col("weight")).otherwise(F.col("cap").cast("double"))
@@ -123,6 +123,17 @@ def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     return x.withColumn("copies", times.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them, all their columns unchanged.
+
+    Rows that share a doc_id, or have none, are taken equally often.
+    """
+    times = taken(docs, weights, most, bins, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    times = written(times, "times")
+    both = docs.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -136,7 +147,7 @@ w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL,
 f AS (SELECT *, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / weight AS fill, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM w),
 l AS (SELECT *, CAST(total - coalesce(sum(cap) OVER (ORDER BY fill, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
         / sum(weight) OVER (ORDER BY fill, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
-m AS (SELECT min(level) FILTER (level <= fill) AS final, min(fill) FILTER (level <= fill) AS first FROM l),
+m AS (SELECT arg_min(level, fill) FILTER (level <= fill) AS final, min(fill) FILTER (level <= fill) AS first FROM l),
 t AS (SELECT source, source_size, total, coalesce(CASE WHEN fill >= first THEN final * weight ELSE CAST(cap AS DOUBLE) END, 0.0) AS target FROM l, m),
 q AS (SELECT d.*, t.source_size, t.target, t.total,
         CAST(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
