@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import doc_columns, partitions, written
+from quillon.llm.shared import doc_columns, partitions, release, written
 from quillon.session import table
 
 #: Bytes of text that are combined before the shuffle, and that a trie holds before it spills.
@@ -240,11 +240,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _key(doc_id, digest):
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), digest)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged (of rows that repeat a kept doc_id, one)."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__kept"))
-    one = docs.dropDuplicates([id_col])
-    return one.join(kept, one[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``docs`` that stay, all their columns unchanged: one of each group of equal texts."""
+    groups = exact_groups(docs, id_col, text_col, keep).where("kept")
+    kept = written(groups.select(_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")), "kept")
+    release(docs.sparkSession)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    digest = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), upper, lower).cast("binary"), 256)
+    keyed = docs.withColumn("__key", _key(F.col(f"`{id_col}`"), digest))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ extra columns never matter.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -169,6 +168,17 @@ def _id_text():
     return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
 
 
+def _judge(text: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the language or one past the last for ``und``, score, whether rejected) of every text."""
+    known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False) & bool(model.languages)
+    best, score = np.full(len(text), len(model.languages)), np.zeros(len(text))
+    if known.any():
+        p = model.probabilities(logits(text, model))
+        best = np.where(known, p.argmax(axis=1), best)
+        score = np.where(known, p.max(axis=1), 0.0)
+    return best, score, ~known | (score < model.reject_below)
+
+
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row."""
 
@@ -176,28 +186,24 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                text = piece.column(1)
-                known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False) & bool(model.languages)
-                best, score = np.full(len(text), len(model.languages)), np.zeros(len(text))
-                if known.any():
-                    p = model.probabilities(logits(text, model))
-                    best = np.where(known, p.argmax(axis=1), best)
-                    score = np.where(known, p.max(axis=1), 0.0)
-                yield pa.record_batch([piece.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(~known | (score < model.reject_below))], names=["doc_id", "lang_pred", "score", "rejected"])
+                best, score, rejected = _judge(piece.column(1), model)
+                yield pa.record_batch([piece.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     read = doc_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return read.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, all their columns unchanged."""
+    """The rows of ``docs`` whose language is not rejected, all their columns unchanged; judged where they lie."""
     model = fit_languages(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    gone = predict(docs, model, id_col, text_col).where("rejected").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    at = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text_col):
+                yield piece.filter(pa.array(~_judge(piece.column(at), model)[2]))
 
-def has_letter(text: str) -> bool:
-    return any(unicodedata.category(c).startswith("L") for c in text)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from quillon.llm import exact_dedup, language_id, minhash, mixing, packing, secrets, substring_dedup, token_files
+from quillon.llm import class_lm, exact_dedup, fingerprints, language_id, minhash, mixing, packing, secrets, substring_dedup, token_files
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_token_files": token_files.op5_token_files,
+    "op6_class_lm": class_lm.op6_class_lm,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
