@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.shared import drop, written
 
-#: Edges a local union-find holds before it emits its forest.
-LOCAL = 500_000
+#: Nodes a local union-find holds before it emits its forest; that many forest edges or fewer are finished in one task.
+LOCAL = 400_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,10 +42,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long) but the smallest of each component, which names it.
 
-    Every round is written to the shared folder; the rounds grow with the logarithm of a component's diameter.
+    Every round is written to the shared folder; the rounds grow with the logarithm of a component's diameter. A forest
+    whose counted edges fit one bounded union-find is finished there; star rounds do the rest at any size.
     """
     now = written(edges.mapInArrow(_forest, "u long, v long"), "forest")
-    while True:
+    while now.count() > LOCAL // 2:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -60,3 +61,4 @@ def components(edges: DataFrame) -> DataFrame:
         parents = now.groupBy("u").agg(F.count("*").alias("n"))
         if parents.where("n > 1").isEmpty() and now.join(parents.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return written(now.coalesce(1).mapInArrow(_forest, "node long, component long"), "forest")
