@@ -7,7 +7,8 @@ DataFrame aggregations over labelled samples: what the rules find in a bounded s
 random side, the other words of those documents and joined identifier words on the ordinary side. Counting gives at most
 2 * 63 * 63 rows, which become one literal table, so scoring is a lookup in an array.
 
-Offsets come from one lazy expression, ``(.*?)(pattern)``: the lengths of its two groups add up to code-point positions.
+Offsets come from one lazy expression, ``(.*?)(pattern)`` or the rest of the text: the lengths of its two groups add up to
+code-point positions. As the rest always matches, no part of a text is searched twice.
 
 Defined results: null text counts as empty and has no spans; repeated rows get equal results; an empty table gives an
 empty result; extra columns never matter.
@@ -41,7 +42,7 @@ NAMES = tuple(
 
 def _matches(text: Column, pattern: str, rough: Column) -> Column:
     """array<struct<start, end, value>> of the matches of ``pattern``; value is its last group, or the match."""
-    full = rf"(?s)(.*?)({pattern})"
+    full = rf"(?s)(.*?)(?:({pattern})|\z)"
     last = 4 if pattern == ASSIGN else 2
     whole = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(full), F.lit(i)).alias(n) for i, n in ((1, "gap"), (2, "hit"), (last, "value"))])
     empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string>>)")
@@ -52,7 +53,7 @@ def _matches(text: Column, pattern: str, rough: Column) -> Column:
         return F.struct(end.alias("at"), F.array_append(acc["all"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("all"))
 
     spans = F.aggregate(whole, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("all")), step)["all"]
-    return F.when(rough, spans).otherwise(empty)
+    return F.when(rough, F.filter(spans, lambda x: x["start"] < x["end"])).otherwise(empty)
 
 
 def _base(text: Column) -> dict[str, Column]:
