@@ -5,7 +5,7 @@ j + r, so later steps can only raise a slot and a document stops as soon as no s
 of those with equal shingle sets goes on. In a bucket all documents are first compared to one leader, not to each other;
 leaders differ from band to band. Then, only in buckets that still hold more than one component, the pairs that would join
 two components are compared, in blocks of bounded size and by their signatures first. Every link is confirmed on the full
-sets. No group is collected anywhere, and its pairs are never all emitted.
+sets; a block with more candidates than rows confirms them itself and gives a spanning forest of its links. No group is collected anywhere, and its pairs are never all emitted.
 
 Defined results: no words or no text gives an empty set, linked with nothing; null doc_ids are linked with nothing and
 have no component; rows that repeat a doc_id and its text are one document; an empty table gives an empty result; extra
@@ -29,8 +29,9 @@ from quillon.session import table
 
 BANDS, ROWS = 40, 5
 #: Documents of one side of a block of pairs, and how far below the threshold a signature may lie (over five deviations).
-SIDE = 256
+SIDE = 1024
 SLACK = 0.16
+_BLOCK = ["bucket", "side", "p", "q"]
 _STEP = 0x9E3779B97F4A7C15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -134,17 +135,103 @@ def _sets(k: int):
     return run
 
 
+def _forest_edges(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """The edges of a spanning forest of the links (u, v): fewer than there are documents."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def _sides(sig: np.ndarray, comp: np.ndarray, n: np.ndarray, is_left: np.ndarray, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left rows, right rows, which of their pairs may be links that would join two components) of a block."""
+    left = np.flatnonzero(is_left)
+    right = np.flatnonzero(~is_left) if not is_left.all() else left
+    ok = np.zeros((len(left), len(right)), bool)
+    for k, i in enumerate(left.tolist()):
+        alike = (comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))
+        at = np.flatnonzero(alike)
+        if len(at):
+            ok[k, at] = (sig[right[at]] == sig[i]).mean(axis=1) >= threshold - slack
+    return left, right, ok
+
+
+def _signs(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1), *(pdf[c].to_numpy() for c in ("component", "n", "is_left"))
+
+
 def _block_pairs(threshold: float, slack: float):
+    """The candidate pairs of a block, or, where they outnumber its rows, one row without a pair that names the block.
+
+    Blocks come one after the other in a partition; only the one that a batch cuts is held over to the next.
+    """
+
+    def of(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
+        arrays, doc = _signs(pdf), pdf["doc_id"].to_numpy()
+        us, vs, at, crowded = [], [], [], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            left, right, ok = _sides(*(x[a:b] for x in arrays), threshold, slack)
+            i, j = np.nonzero(ok)
+            if len(i) > b - a:
+                crowded.append(a)
+            elif len(i):
+                x, y = doc[a:b][left[i]], doc[a:b][right[j]]
+                us.append(np.minimum(x, y))
+                vs.append(np.maximum(x, y))
+                at.append(np.full(len(i), a))
+        blocks = pdf[_BLOCK].iloc[np.concatenate([*at, np.array(crowded, int)]).astype(int)].reset_index(drop=True)
+        pair = lambda x: pd.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype("int64").tolist() + [pd.NA] * len(crowded), "Int64")
+        return blocks.assign(u=pair(us), v=pair(vs))[["u", "v", *_BLOCK]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            new = np.zeros(len(pdf), bool)
+            for c in _BLOCK:
+                x = pdf[c].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist()]
+            if len(cuts) > 1:
+                yield of(pdf, cuts)
+            held = pdf.iloc[cuts[-1] :]
+        if held is not None and len(held):
+            yield of(held.reset_index(drop=True), [0, len(held)])
+
+    return run
+
+
+def _block_links(percent: int, slack: float, columns: int = 8192):
+    """A spanning forest of a block's links, confirmed on full sets by counting common shingles of all its pairs at once."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        doc, comp, n, left = (pdf[c].to_numpy() for c in ("doc_id", "component", "n", "is_left"))
-        found = []
-        right = np.flatnonzero(~left) if not left.all() else np.arange(len(pdf))
-        for i in np.flatnonzero(left).tolist():
-            ok = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))]
-            ok = ok[(sig[ok] == sig[i]).mean(axis=1) >= threshold - slack]
-            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in ok.tolist()]
-        return pd.DataFrame(list(set(found)), columns=["u", "v"], dtype="int64")
+        left, right, ok = _sides(*_signs(pdf), percent / 100, slack)
+        doc, n = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy()
+        row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["items"]])
+        items, at, times = np.unique(np.concatenate(pdf["items"].to_list()), return_inverse=True, return_counts=True)
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        wide = times[at] > 1  # a shingle of one document is common to no pair
+        row, at = row[wide], at[wide]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(items), columns):
+            a, b = np.searchsorted(at, (lo, lo + columns))
+            has = np.zeros((len(pdf), columns), np.float32)
+            has[row[a:b], at[a:b] - lo] = 1
+            common += has[left] @ has[right].T
+        union = n[left][:, None] + n[right][None, :] - common
+        i, j = np.nonzero(ok & (100 * common.astype(np.int64) >= percent * union.astype(np.int64)))
+        return pd.DataFrame(_forest_edges(doc[left[i]], doc[right[j]]), columns=["u", "v"], dtype="int64")
 
     return run
 
@@ -181,8 +268,11 @@ def near_groups(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BAN
 
     edges = written(confirmed(pairs), "edges")
     label = components(edges)
-    rest = _open_pairs(buckets, reps, label, percent / 100).join(pairs, ["u", "v"], "left_anti")
-    more = written(confirmed(rest), "edges")
+    rows = _open_blocks(buckets, reps, label)
+    found = written(rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInPandas(_block_pairs(percent / 100, SLACK), "u long, v long, bucket long, side string, p int, q int"), "open")
+    rest = found.where("u is not null").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    crowded = rows.join(found.where("u is null").select(*_BLOCK), _BLOCK, "left_semi").join(sets, "doc_id")
+    more = written(confirmed(rest).union(crowded.groupBy(*_BLOCK).applyInPandas(_block_links(percent, SLACK), "u long, v long")), "edges")
     if not more.isEmpty():
         label = components(edges.union(more))
 
@@ -192,8 +282,8 @@ def near_groups(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BAN
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open_pairs(buckets: DataFrame, reps: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a common bucket in different components, alike by size and signature: (u, v), u < v.
+def _open_blocks(buckets: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of every block of pairs of a common bucket and of different components.
 
     In a bucket, rows of the leader's component are the major ones. Minor rows meet major ones and each other in blocks of
     about SIDE by SIDE; major rows never meet. A row is in as many blocks as the other side has, usually one.
@@ -210,8 +300,7 @@ def _open_pairs(buckets: DataFrame, reps: DataFrame, label: DataFrame, threshold
     cross = own.select("bucket", F.lit("across").alias("side"), F.when(F.col("minor"), F.col("mine")).otherwise(F.col("other")).alias("p"), F.when(F.col("minor"), F.col("other")).otherwise(F.col("mine")).alias("q"), "doc_id", "component", "n", F.col("minor").alias("is_left"))
     among = own.where("minor and other = 0 and minors > 1").withColumn("other", F.explode(F.sequence(F.lit(0), blocks("minors") - 1)))
     among = among.select("bucket", F.lit("among").alias("side"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "doc_id", "component", "n", (F.col("mine") <= F.col("other")).alias("is_left"))
-    rows = cross.union(among).join(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id")
-    return rows.groupBy("bucket", "side", "p", "q").applyInPandas(_block_pairs(threshold, SLACK), "u long, v long").distinct()
+    return cross.union(among).join(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
