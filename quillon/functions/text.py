@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillon.functions import constants as K
 
@@ -88,17 +89,17 @@ def normalise_space(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(col(c), "[\\s\\p{Z}\\x1c-\\x1f\\x85]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def blake2b_hex(s: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else hashlib.blake2b(x.encode(), digest_size=int(n)).hexdigest() for x, n in zip(s, size, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(s: pd.Series) -> pd.Series:
     """FNV-1a over UTF-8, 64 bits, as 16 hex digits."""
 
@@ -137,7 +138,7 @@ def partial_json_value(text: str | None, key: str) -> str:
 
 
 def partial_json(c: Column | str, key: str) -> Column:
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def read(s: pd.Series) -> pd.Series:
         return s.map(lambda x: partial_json_value(x, key))
 
