@@ -9,6 +9,7 @@ found by 64-bit hash and kept, with their ids, in a table of bounded size in the
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +58,7 @@ class Bpe:
         return cls._open[path]
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -126,13 +128,9 @@ class Bpe:
         return starts, np.append(starts[1:], len(data)), odd_here
 
     def _learn(self, texts: list[bytes], odd: list[bool]) -> list[list[int]]:
-        out = []
-        for t, o in zip(texts, odd, strict=True):
-            if o:
-                out.append(self.tok.encode(t.decode("utf-8"), add_special_tokens=False).ids)
-            else:
-                out.append([x.id for x in self.model.tokenize(t.decode("latin-1").translate(_LETTERS))])
-        return out
+        whole = iter(self.tok.encode_batch_fast([t.decode("utf-8") for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
+        tokenize = self.model.tokenize
+        return [next(whole).ids if o else [x.id for x in tokenize(t.decode("latin-1").translate(_LETTERS))] for t, o in zip(texts, odd, strict=True)]
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first index of each text's ids (n+1)); null counts as empty; ``end`` is put after each text."""

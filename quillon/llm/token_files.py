@@ -32,10 +32,29 @@ MAGIC = b"QS8B0001"
 BLOCK = 128
 #: Ids of one file at least, unless its partition has fewer; one document is never split over files.
 FILE_IDS = 4 << 20
+#: Blocks whose selectors are found at once.
+TOGETHER = 2048
 #: (ids, bits) by selector 1 to 14.
 LAYOUT = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 
 
+def _selectors(grid: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The selector of a word that would begin at each place; past the end of a block all is zero."""
+    need = np.zeros((len(grid), BLOCK + 64), np.uint8)  # the first width an id fits, as a place in LAYOUT
+    need[:, :BLOCK] = np.searchsorted(limits, grid.reshape(-1), "right").reshape(grid.shape)
+    most = {1: need}  # the widest need of 2, 4, ... 32 places on
+    for k in (1, 2, 4, 8, 16):
+        most[2 * k] = np.maximum(most[k][:, :-k], most[k][:, k:])
+    best = np.zeros(grid.shape, np.uint8)
+    for k, (count, _) in reversed(list(enumerate(LAYOUT, 1))):
+        half = 1 << (count.bit_length() - 1)
+        widest = most[half][:, :BLOCK]
+        if half < count:
+            widest = np.maximum(widest, most[half][:, count - half : count - half + BLOCK])
+        best[widest < k] = k
+    return best
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Simple-8b words of ``ids`` (uint64) and the first word of each block of BLOCK ids, with the number of words last."""
     n = len(ids)
@@ -46,12 +65,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n % BLOCK:
         left[-1] = n % BLOCK
     # the widest fit at each place: selectors from many narrow ids to few wide ones, the first that fits
-    best = np.zeros((rows, BLOCK), np.uint8)
-    place = np.arange(BLOCK)
-    for k, (count, bits) in reversed(list(enumerate(LAYOUT, 1))):
-        too_wide = np.where(grid >> np.uint64(bits) != 0, place, 10 * BLOCK)
-        free = np.minimum.accumulate(too_wide[:, ::-1], axis=1)[:, ::-1] - place
-        best[free >= count] = k
+    limits = np.array([1 << bits for _, bits in LAYOUT], np.uint64)
+    best = np.empty((rows, BLOCK), np.uint8)
+    for top in range(0, rows, TOGETHER):
+        best[top : top + TOGETHER] = _selectors(grid[top : top + TOGETHER], limits)
     counts = np.array([1, *(c for c, _ in LAYOUT)])
     at = np.zeros(rows, np.int64)
     steps = []  # one word of every block that has ids left
