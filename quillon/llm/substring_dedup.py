@@ -7,7 +7,8 @@ the least hash of the 7-word runs in a window, its anchor, is the same wherever
 one document only are dropped. What is left are short segments of word ids around shared anchors; they are dealt by
 anchor, each shard builds suffix automata of bounded size over its distinct segments, in ascending doc_id, and streams all
 its segments through them; the matching statistics give the smallest document of every window. A segment that very many
-documents share is one segment in its shard; the documents find its result by a join that skew handling can split. An
+documents share is one segment in its shard; the documents find its result by a join that skew handling can split. A
+segment alone at its anchor has nothing else to match, so its smallest document is the answer without an automaton. An
 anchor with more distinct segments than an automaton may hold gets several automata, and every one of its segments is
 streamed through each.
 
@@ -137,6 +138,18 @@ def _scan(window: int, k: int):
 _SEGMENTS = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("seg_a", pa.int64()), ("seg_b", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
 
 
+def _segment_ids(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each run of ``size`` words from ``begin`` on."""
+    a, b = size.astype(np.uint64), mix(size.astype(np.uint64))
+    for j in range(int(size.max())):
+        live = np.flatnonzero(size > j)
+        w = words[begin[live] + j]
+        p, q = mix(np.array([2 * j + 1, 2 * j + 2], np.uint64)) | np.uint64(1)
+        a[live] += w * p
+        b[live] += w * q
+    return mix(a).view(np.int64), mix(b).view(np.int64)
+
+
 def _segments(window: int, k: int):
     """(doc_id, text, its shared anchors) to segments: every occurrence (kind 0) and, once a task, its words (kind 1)."""
 
@@ -145,7 +158,7 @@ def _segments(window: int, k: int):
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words, first = word_hashes(piece.column(1))
-                ids = piece.column(0).to_pylist()
+                ids = np.asarray(piece.column(0))
                 shared = piece.column(2)
                 anchor, doc, at = _anchors(words, first, window, k)
                 # the (document, anchor) pairs that are shared, by one sorted search
@@ -160,28 +173,31 @@ def _segments(window: int, k: int):
                 start[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
                 run_at = np.flatnonzero(start)
                 within = np.arange(len(at)) - np.repeat(run_at, np.diff(np.append(run_at, len(at))))
-                start = within % SEGMENT == 0
-                run_at = np.flatnonzero(start)
-                windows = np.diff(np.append(run_at, len(at)))
-                a, d, s = anchor[run_at], doc[run_at], at[run_at]
-                narrow = words.astype("<u8")
-                power = mix(np.arange(1, window + SEGMENT + 1, dtype=np.uint64))
-                rows: list[list] = [[], [], [], [], [], [], []]
-                base = first[d]
-                for i, (n, begin) in enumerate(zip(windows.tolist(), s.tolist(), strict=True)):
-                    cut = narrow[begin : begin + n + window - 1]
-                    seg = (int(np.sum(cut * power[: len(cut)])), int(np.sum(cut * mix(power[: len(cut)]))) ^ len(cut))
-                    seg = tuple(x - (1 << 64) if x >= 1 << 63 else x for x in seg)
-                    doc_id = ids[d[i]]
-                    for column, v in zip(rows, (0, None, *seg, doc_id, begin - int(base[i]), None), strict=True):
-                        column.append(v)
-                    if sent.get(seg, doc_id + 1) > doc_id:
-                        if len(sent) > REMEMBERED:
-                            sent.clear()
-                        sent[seg] = doc_id
-                        for column, v in zip(rows, (1, int(a[i].view(np.int64)), *seg, doc_id, None, cut.tobytes()), strict=True):
-                            column.append(v)
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(rows, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+                run_at = np.flatnonzero(within % SEGMENT == 0)
+                size = np.diff(np.append(run_at, len(at))) + window - 1
+                begin, doc_id = at[run_at], ids[doc[run_at]]
+                seg_a, seg_b = _segment_ids(words, begin, size)
+                none = [pa.nulls(len(begin), f.type) for f in _SEGMENTS]
+                used = [pa.array(np.zeros(len(begin), np.int32)), none[1], pa.array(seg_a), pa.array(seg_b), pa.array(doc_id), pa.array(begin - first[doc[run_at]]), none[6]]
+                yield pa.record_batch(used, schema=_SEGMENTS)
+                order = np.lexsort((doc_id, seg_b, seg_a))
+                new = np.ones(len(order), bool)
+                new[1:] = (seg_a[order][1:] != seg_a[order][:-1]) | (seg_b[order][1:] != seg_b[order][:-1])
+                least = order[new]  # of each segment, its smallest document here
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                fresh = []
+                for i, d, *seg in zip(least.tolist(), doc_id[least].tolist(), seg_a[least].tolist(), seg_b[least].tolist(), strict=True):
+                    if sent.get(tuple(seg), d + 1) > d:
+                        sent[tuple(seg)] = d
+                        fresh.append(i)
+                if fresh:
+                    n = size[fresh]
+                    upto = np.cumsum(n)
+                    cut = words[np.repeat(begin[fresh] - (upto - n), n) + np.arange(upto[-1])].astype("<u8")
+                    body = pa.Array.from_buffers(pa.binary(), len(fresh), [None, pa.py_buffer(np.append(0, upto * 8).astype(np.int32)), pa.py_buffer(cut)])
+                    sent_now = [pa.array(np.ones(len(fresh), np.int32)), pa.array(anchor[run_at][fresh].view(np.int64)), pa.array(seg_a[fresh]), pa.array(seg_b[fresh]), pa.array(doc_id[fresh]), pa.nulls(len(fresh), pa.int64()), body]
+                    yield pa.record_batch(sent_now, schema=_SEGMENTS)
 
     return run
 
@@ -192,7 +208,7 @@ def _shards(window: int, shard_words: int):
 
     def results(groups: list[dict]) -> Iterator[tuple]:
         """One automaton over whole anchor groups."""
-        distinct = {k: v for g in groups for k, v in g.items()}
+        distinct = {k: (owner, np.frombuffer(words, "<u8").tolist()) for g in groups for k, (owner, words) in g.items()}
         machine = SuffixAutomaton()
         for owner, words in sorted(distinct.values(), key=lambda x: x[0]):
             machine.add(words, owner)
@@ -208,8 +224,8 @@ def _shards(window: int, shard_words: int):
             try:
                 while size < shard_words:
                     seg, owner, words = pickle.load(file)
-                    part.append((owner, words))
-                    size += len(words)
+                    part.append((owner, np.frombuffer(words, "<u8").tolist()))
+                    size += len(words) // 8
             except EOFError:
                 pass
             if not part:
@@ -221,7 +237,7 @@ def _shards(window: int, shard_words: int):
             try:
                 while True:
                     seg, _, words = pickle.load(file)
-                    yield (*seg, machine.owners(words, window, none))
+                    yield (*seg, machine.owners(np.frombuffer(words, "<u8").tolist(), window, none))
             except EOFError:
                 pass
 
@@ -249,6 +265,9 @@ def _shards(window: int, shard_words: int):
                     pickle.dump((seg, owner, words), spill)
                 yield from large(spill)
                 spill.close()
+            elif len(group) == 1:  # nothing else to match: each window's first owner is the segment's
+                ((seg, (owner, words)),) = group.items()
+                yield (*seg, [owner] * (len(words) // 8 - window + 1))
             elif group:
                 done.append(group)
                 size += in_group
@@ -257,7 +276,7 @@ def _shards(window: int, shard_words: int):
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("anchor", "seg_a", "seg_b", "doc_id")]
             body = batch.column(batch.schema.get_field_index("words"))
-            for anchor, a, b, doc_id, words in zip(*(c.to_pylist() for c in columns), body, strict=True):
+            for anchor, a, b, doc_id, words in zip(*(c.to_pylist() for c in columns), body.to_pylist(), strict=True):
                 if anchor != now:
                     yield from emit(close())
                     now = anchor
@@ -266,9 +285,8 @@ def _shards(window: int, shard_words: int):
                         done, size = [], 0
                 seen = group.get((a, b))
                 if seen is None:
-                    sequence = np.frombuffer(words.as_buffer(), "<u8").tolist()
-                    group[a, b] = (doc_id, sequence)
-                    in_group += len(sequence)
+                    group[a, b] = (doc_id, words)
+                    in_group += len(words) // 8
                     if in_group >= shard_words:
                         spill = spill or tempfile.TemporaryFile()  # local scratch of this task alone
                         for seg, (owner, w) in group.items():
@@ -288,14 +306,20 @@ def _strip(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            ids, spans = np.asarray(batch.column(0)), batch.column(2)
+            per_doc = np.asarray(spans.offsets)
+            at, owners = (spans.flatten().field(k) for k in ("at", "owners"))
+            edges = np.asarray(owners.offsets)
+            size = np.diff(edges)
+            place = np.repeat(np.asarray(at) - edges[:-1], size) + np.arange(edges[0], edges[-1])
+            smaller = np.asarray(owners.flatten()) < np.repeat(np.repeat(ids, np.diff(per_doc)), size)
+            edges = edges - edges[0]
+            for i, (doc_id, text) in enumerate(zip(ids.tolist(), batch.column(1), strict=True)):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                gone = np.zeros(len(words) + 1, np.int64)
-                for span in spans:
-                    for i, owner in enumerate(span["owners"], span["at"]):
-                        if owner < doc_id and i + window <= len(words):
-                            gone[i] += 1
-                            gone[i + window] -= 1
+                a, b = edges[per_doc[i] - per_doc[0]], edges[per_doc[i + 1] - per_doc[0]]
+                hit = place[a:b][smaller[a:b]]
+                hit = hit[hit + window <= len(words)]
+                gone = np.bincount(hit, minlength=len(words) + 1) - np.bincount(hit + window, minlength=len(words) + 1)
                 lost = np.cumsum(gone)[: len(words)] > 0
                 kept = b" ".join(w for w, x in zip(words, lost.tolist(), strict=True) if not x)
                 values = (doc_id, hashlib.sha256(b" ".join(words)).hexdigest(), int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"))
