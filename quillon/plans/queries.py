@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import constants as K
 from quillon.functions import text as T
 from quillon.operators import fusion, gates, lexical, vectors
+from quillon.plans import corpus
 from quillon.session import table
 
 
@@ -218,3 +219,6 @@ ORACLE_SQL = {
         select conv_id, turn, round(case when len(a) > 0 then len(list_intersect(a, b)) / len(a) else 0.0 end, 6) as overlap from t""",
     "gate_retrieval": f"{_PAIRS} select query_id, case when best < 0.8 then 'LOW_CONFIDENCE' end as reason from placed where place = 1",
 }
+
+QUERIES |= corpus.QUERIES
+ORACLE_SQL |= corpus.ORACLE_SQL
