@@ -126,10 +126,13 @@ def _tagged(rank: int, kind: str) -> Column:
     return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, found: array<struct<start, rank, kind, end>> by start, then kind as listed."""
+def scan(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", ratios: list[float] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, found: array<struct<start, rank, kind, end>> by start, then kind as listed.
+
+    ``ratios`` are those of ``fit_markov`` over other documents; without them they are fitted on ``docs``.
+    """
     docs = doc_columns(docs, id_col, text_col).toDF("doc_id", "text")
-    ratios = fit_markov(docs, sample)
+    ratios = ratios or fit_markov(docs, sample)
     text = F.col("text")
     read = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kinds = _base(text)

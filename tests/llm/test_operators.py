@@ -281,3 +281,61 @@ def test_empty_and_null_tables(spark, tmp_path, name):
     some = pd.DataFrame({"doc_id": pd.array([1, None, 2, None], "Int64"), "text": pd.array([None, "a few words of text here", None, None], "string"), "lang": pd.array([None] * 4, "string"), "source": pd.array([None] * 4, "string")})
     some.to_parquet(nulls / "documents.parquet", index=False)
     assert Q.QUERIES[name](spark, str(nulls)).count() == 4
+
+
+def test_markov_spans_find_random_keys_only(spark, docs):
+    """Random keys that no rule knows, and identifiers, in documents that the models were not fitted on."""
+    from quillon.llm.secrets import fit_markov, scan
+
+    rng = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = "window render layout cursor widget handle filter socket thread memory".split()
+    keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+    plain = ["_".join(rng.choice(names) for _ in range(4)) for _ in range(100)] + ["".join(rng.choice(names).capitalize() for _ in range(4)) for _ in range(100)]
+    more = pd.DataFrame({"doc_id": range(20_000, 20_400), "text": [f"the value é {x} is here" for x in keys + plain]})
+    known = [(int(k), t) for k, t in text_of(docs).items()]
+    ratios = fit_markov(spark.createDataFrame(known, "doc_id long, text string"))
+    got = scan(spark.createDataFrame(more), ratios=ratios).toPandas().set_index("doc_id")
+    assert (got.n_assign + got.n_access + got.n_hex).sum() == 0
+    assert got.n_markov.loc[20_000:20_199].mean() > 0.95 and got.n_markov.loc[20_200:].mean() < 0.05
+    assert {(x.start, x.end) for x in got.found.loc[20_000]} == {(12, 44)}
+
+
+def test_pipeline_stages(spark, folder, docs, tmp_path):
+    """Each stage against a plain version of its own input; all but the last return the columns of documents."""
+    import corpus_pipeline as P
+
+    def step(name, before):
+        out = dict(P.STAGES)[name](spark, before, folder)
+        out.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    stage, kept = read, {}
+    for name in ("language_id", "exact_dedup", "near_dedup", "mixing"):
+        stage = step(name, stage)
+        assert stage.columns == read.columns
+        kept[name] = stage.select("doc_id", "text", "source").toPandas()
+    text = text_of(docs)
+    ids = {k: set(v.doc_id) for k, v in kept.items()}
+    assert not ids["language_id"] & {k for k, t in text.items() if not any(c.isalpha() for c in t)}
+    assert len(ids["language_id"] & set(range(10_000))) >= 0.9 * (docs.doc_id < 10_000).sum()  # clean documents stay
+    last = {}
+    for k in sorted(ids["language_id"]):
+        last[text[k].translate(LOWER)] = k
+    assert ids["exact_dedup"] == set(last.values())
+    shingles = sets(docs[docs.doc_id.isin(ids["exact_dedup"])])
+    group = groups(shingles, 80)
+    assert len(ids["near_dedup"]) == len(set(group.values())) and {group[k] for k in ids["near_dedup"]} == set(group.values())
+    size = {k: len(WORD.findall(text[k])) for k in ids["near_dedup"]}
+    times = Counter(kept["mixing"].doc_id)
+    assert set(times) <= set(size) and max(times.values()) <= 3
+    words = sum(n * size[k] for k, n in times.items())
+    assert sum(size.values()) - max(size.values()) <= words <= sum(size.values())
+    pieces = step("packing", stage).toPandas()
+    whole = encoded(docs, "word_bpe_49k.json", 1)
+    assert pieces.groupby("doc_id").length.sum().to_dict() == {k: n * len(whole[k]) for k, n in times.items()}
+    for r in pieces.itertuples():
+        assert r.ids_crc32 == zlib.crc32(np.array(whole[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+    filled = pieces.groupby("sequence_id").length.sum()
+    assert all(n & (n - 1) == 0 and n <= 2048 for n in filled)
