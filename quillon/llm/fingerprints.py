@@ -1,7 +1,8 @@
 """Document fingerprints by improbable features, held in chained Bloom filters.
 
 A feature is a window of 64 bytes. Its entropy level is rare if few windows of all documents have it; in every 64
-consecutive windows the rarest, then leftmost, gets a vote, and windows with VOTES or more are the document's features.
+consecutive windows the rarest, then leftmost, gets a vote, and windows with VOTES or more are the document's features; where
+none has so many, those with most are.
 Their hashes go in order into Bloom filters of 2048 bits, a new one after 128 features. Two fingerprints are as like as the
 filters of the shorter chain match, on average, their best counterpart: shared bits, less those expected by chance, as a
 share of the most that could be shared.
@@ -83,6 +84,7 @@ def features(column: pa.Array, rarity: np.ndarray) -> list[np.ndarray]:
     """The hashes of each document's features, in order. ``rarity``: rank of each entropy level, 0 for the rarest."""
     data, offsets = raw(column)
     found: list[list[np.ndarray]] = [[] for _ in range(len(offsets) - 1)]
+    spare: dict[int, tuple[int, list[np.ndarray]]] = {}  # where no window has VOTES yet: the most votes, and whose they are
     for a, b in blocks(data, offsets):
         block = data[a:b]
         first, last = np.searchsorted(offsets, a, "right") - 1, np.searchsorted(offsets, b, "left")
@@ -106,13 +108,26 @@ def features(column: pa.Array, rarity: np.ndarray) -> list[np.ndarray]:
             for i in np.flatnonzero((sizes >= WIDTH) & (sizes < WIDTH + NEAR - 1)).tolist():
                 few.append(int(key[edges[i] : edges[i + 1] - WIDTH + 1].min()) & 0xFFFFFFFF)
             picked = np.union1d(picked, np.array(few, np.int64)).astype(np.int64)
-            h = run_hashes(block, picked, picked + WIDTH)
             cut = np.searchsorted(picked, edges)
+            below = []
+            for i in np.flatnonzero((np.diff(cut) == 0) & (sizes >= WIDTH + NEAR - 1)).tolist():
+                own = votes[edges[i] : edges[i + 1] - WIDTH + 1]
+                below.append((first + i, int(own.max()), np.flatnonzero(own == own.max()) + edges[i]))
+            at = np.concatenate([picked, *(x[2] for x in below)])
+            h = run_hashes(block, at, at + WIDTH)
             for i in np.flatnonzero(np.diff(cut)).tolist():
                 found[first + i].append(h[cut[i] : cut[i + 1]])
+            done = len(picked)
+            for i, most, own in below:  # a long text may have parts in several blocks
+                had, parts = spare.get(i, (0, []))
+                if most >= had:
+                    spare[i] = (most, [*(parts if most == had else []), h[done : done + len(own)]])
+                done += len(own)
     short = np.diff(offsets)
     out = []
     for i, parts in enumerate(found):
+        if not parts and i in spare:
+            parts = spare[i][1]
         if 0 < short[i] < WIDTH:
             body = data[offsets[i] : offsets[i + 1]]
             parts = [run_hashes(body, np.array([0]), np.array([len(body)]))]

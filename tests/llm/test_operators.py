@@ -232,6 +232,24 @@ def test_fingerprints(spark, folder, docs):
     assert got.groupby(got.doc_id.map(t)).fingerprint.nunique().max() == 1
 
 
+def test_fingerprints_of_short_texts(docs):
+    """Only empty text has no feature; unrelated texts of any size are not alike."""
+    import pyarrow as pa
+
+    from quillon.llm.fingerprints import LEVELS, features, filters, likeness
+
+    body = " ".join(text_of(docs[docs.doc_id < 10_000]).values()).encode("ascii", "ignore").decode()
+    texts = [body[701 * i : 701 * i + n] for i, n in enumerate([*range(1, 260), *range(127, 150)])]
+    rarity = np.arange(LEVELS)[::-1].copy()
+    got = features(pa.array([*texts, ""]), rarity)
+    assert all(len(h) for h in got[:-1]) and not len(got[-1])
+    for a, b in zip(texts, got, strict=False):
+        assert np.array_equal(features(pa.array([a]), rarity)[0], b)
+    chains = [filters(h) for h in got]
+    some = range(126, 149)  # 127 to 149 bytes
+    assert all(likeness(chains[i], chains[i]) == 1 and likeness(chains[i], chains[i + 133]) < 0.5 for i in some)
+
+
 def test_exact_dedup(spark, folder, docs):
     got = rows(spark, folder, "op8_exact_dedup")
     low = {k: t.translate(LOWER) for k, t in text_of(docs).items()}
