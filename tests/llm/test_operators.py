@@ -218,6 +218,25 @@ def test_class_lm(spark, folder, docs):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_class_lm_learns_words_beyond_the_head(spark, tmp_path):
+    """Rare words of two kinds, each with some frequent words: a held-out text with the rare ones exchanged is less likely."""
+    rng = random.Random(5)
+    a, b = [f"a{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    pairs = lambda p, q, n: " ".join(w for _ in range(n) for w in ("to", "left", rng.choice(p), "at", "right", rng.choice(q)))
+    held = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    train = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    texts = {k: pairs(a, b, 8) + " " + pairs(a[:5], b[:5], 7) for k in train[:200]}
+    texts |= {k: " ".join(f"w{j}" for j in range(1100)) for k in train[200:240]}  # more frequent than the rare words
+    right, wrong = held[:30], held[30:60]
+    for x, y in zip(right, wrong, strict=True):
+        w = pairs(a[5:], b[5:], 10).split()  # of six words the third and the last are rare
+        texts[x], texts[y] = " ".join(w), " ".join(v for i in range(0, len(w), 6) for v in (w[i], w[i + 1], w[i + 5], w[i + 3], w[i + 4], w[i + 2]))
+    pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}).to_parquet(tmp_path / "documents.parquet", index=False)
+    got = rows(spark, str(tmp_path), "op6_class_lm")
+    assert np.allclose(got.loc[right].base_score, got.loc[wrong].base_score)
+    assert all(got.loc[x].score > got.loc[y].score + 1 for x, y in zip(right, wrong, strict=True))
+
+
 def test_fingerprints(spark, folder, docs):
     got = rows(spark, folder, "op7_fingerprints")
     t = text_of(docs)
