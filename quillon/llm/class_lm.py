@@ -1,8 +1,8 @@
 """Language-model scoring with Brown class n-grams.
 
 Every word of the training documents has a class. The HEAD most frequent ones are put into classes by exchange clustering on
-the driver: each word moves to the class with which the class bigrams of the corpus are most likely, for ROUNDS passes at
-most. All others are assigned in executors, PASSES times over: the classes to the left and right of each word are counted in
+the driver: each word moves to the class with which the class bigrams of the corpus are most likely, until no word moves.
+All others are assigned in executors, PASSES times over: the classes to the left and right of each word are counted in
 a table, and each word takes the class that makes these neighbours likeliest; in the first pass only head words have a class,
 then the COUNTED most frequent words do. All words start in one class, which a word leaves only where its neighbours tell
 more than naming another class costs, so a word seen once does not take a class by chance. The number of classes grows with the vocabulary (``class_count``). The end of a
@@ -38,7 +38,6 @@ CLASSES = 48
 COUNTED = 200_000
 #: Words of the vocabulary with which the number of classes is CLASSES; it grows with the fourth root of the vocabulary.
 CLASSED = 100_000
-ROUNDS = 4
 PASSES = 2
 #: Words a task counts before it passes its counts on.
 TOGETHER = 1_500_000
@@ -117,8 +116,8 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Classes of the symbols of a bigram table; the last two symbols keep classes of their own (the last two)."""
+def exchange(bigrams: np.ndarray, classes: int, rounds: int | None = None) -> np.ndarray:
+    """Classes of the symbols of a bigram table, after ``rounds`` passes or when no word moves; the last two symbols keep classes of their own (the last two)."""
     size = len(bigrams)
     words, free = size - 2, max(1, min(classes, size - 2))
     by_count = np.argsort(-(bigrams.sum(axis=0)[:words]), kind="stable")
@@ -130,8 +129,10 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
     member[np.arange(size), own] = 1
     to, frm = bigrams @ member, bigrams.T @ member  # each symbol's successors and predecessors by class
     n = member.T @ to
-    for _ in range(rounds):
-        moved = 0
+    least = max(1e-6, 1e-14 * float(_xlogx(np.float64(n.sum()))))  # above rounding errors, or moves could go round in a circle
+    done, moved = 0, 1
+    while moved and done != rounds:
+        done, moved = done + 1, 0
         for w in by_count.tolist():
             a, same = own[w], float(bigrams[w, w])
             right, left = to[w].copy(), frm[w].copy()
@@ -149,7 +150,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
             gain += _xlogx(corner + right + left + same) - _xlogx(corner + right) - _xlogx(corner + left) + _xlogx(corner)
             gain -= _xlogx(rows + total_r) - _xlogx(rows) + _xlogx(columns + total_c) - _xlogx(columns)
             best = int(np.argmax(np.round(gain[:free], 6)))
-            if best != a and gain[best] > gain[a] + 1e-6:
+            if best != a and gain[best] > gain[a] + least:
                 moved += 1
                 own[w] = best
                 to[:, best] += bigrams[:, w]
@@ -160,8 +161,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndar
                 base[:, best] += left
                 base[best, best] += same
                 n = base
-        if not moved:
-            break
     return own
 
 

@@ -218,6 +218,15 @@ def test_class_lm(spark, folder, docs):
     assert out.score.sum() > out.base_score.sum()
 
 
+def test_exchange_goes_on_until_no_word_moves():
+    from quillon.llm.class_lm import exchange
+
+    bigrams = np.random.default_rng(3).poisson(2.0, (152, 152))
+    passes = [exchange(bigrams, 8, n) for n in (4, 60, 61)]
+    assert (passes[0] != passes[1]).any() and (passes[1] == passes[2]).all()
+    assert (exchange(bigrams, 8) == passes[1]).all()
+
+
 def test_class_lm_learns_words_beyond_the_head(spark, tmp_path):
     """Rare words of two kinds, each with some frequent words: a held-out text with the rare ones exchanged is less likely."""
     rng = random.Random(5)
