@@ -3,7 +3,14 @@
 The library is called once per distinct pre-token instead of once per occurrence. Texts are cut into the file's own
 pre-tokens with vector operations, for ASCII runs without apostrophes; any other run between ASCII white space goes to the
 library as a whole, which its rules allow because no pre-token reaches over such white space. Distinct pre-tokens are
-found by 64-bit hash and kept, with their ids, in a table of bounded size in the Python worker.
+found by 64-bit hash and kept, with their bytes and ids, in a table of bounded size in the Python worker; every occurrence
+is compared with the table's bytes, so a hash that two of them share costs time and not a wrong id.
+
+The ids are those of the library's plain call, in which a special token's own string in a text is that token; texts that
+hold one go to the library whole. With ``special=False`` such strings are text like any other.
+
+Defined results: null counts as empty text and has no ids; equal texts have equal ids; a text of any length is read in
+blocks.
 """
 
 from __future__ import annotations
@@ -49,23 +56,27 @@ _LETTERS = str.maketrans(dict(enumerate(_byte_letters())))
 class Bpe:
     """One tokenizer file; ``encode`` gives the ids of every text of a column, without special tokens."""
 
-    _open: dict[str, Bpe] = {}
+    _open: dict[tuple[str, bool], Bpe] = {}
 
     @classmethod
-    def of(cls, path: str) -> Bpe:
-        if path not in cls._open:
-            cls._open[path] = cls(path)
-        return cls._open[path]
+    def of(cls, path: str, special: bool = True) -> Bpe:
+        if (path, special) not in cls._open:
+            cls._open[path, special] = cls(path, special)
+        return cls._open[path, special]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
         self.model = self.tok.model
+        added = spec.get("added_tokens") or []
+        if not special and not all(t.get("special") for t in added):
+            raise ValueError("added tokens that are not special are never text like any other")
+        self.whole_if = [t["content"] for t in added] if special else []
         pre = spec.get("pre_tokenizer") or {}
         steps = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
@@ -78,9 +89,12 @@ class Bpe:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int64)  # of each known pre-token its first id and the number of its ids
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.body_at = np.zeros(0, np.int64)  # and its first byte and the number of its bytes
+        self.body_size = np.zeros(0, np.int64)
+        self.body = np.zeros(0, np.uint8)
 
     def _bounds(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the pre-tokens of a block, and which of them the library must cut itself."""
@@ -135,7 +149,12 @@ class Bpe:
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first index of each text's ids (n+1)); null counts as empty; ``end`` is put after each text."""
         whole: dict[int, np.ndarray] = {}
-        if self.style == "byte" and len(column) and (wide := pc.fill_null(pc.match_substring_regex(column, _WIDE_SPACE), False)).true_count:
+        wide = pa.array(np.zeros(len(column), bool))
+        if self.style == "byte" and len(column):
+            wide = pc.fill_null(pc.match_substring_regex(column, _WIDE_SPACE), False)
+        for content in self.whole_if:
+            wide = pc.or_(wide, pc.fill_null(pc.match_substring(column, content, ignore_case=self.style == "word"), False))
+        if wide.true_count:
             for i in np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist():
                 whole[i] = np.array(self.tok.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
             column = pc.if_else(wide, "", column)
@@ -168,10 +187,9 @@ class Bpe:
             ids = np.zeros(0, np.uint32)
         else:
             start, stop, odd = np.concatenate(starts), np.concatenate(stops), np.concatenate(odds)
-            which, inverse = self._lookup(np.concatenate(hashes), data, start, stop, odd)
-            sizes = self.size[which][inverse]
+            at, sizes, table = self._lookup(np.concatenate(hashes), data, start, stop, odd)
             upto = np.cumsum(sizes)
-            ids = self.ids[np.repeat(self.at[which][inverse] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
+            ids = table[np.repeat(at - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)]
             return ids, np.append(0, upto)[np.searchsorted(start, offsets, "left")]
         return ids, np.append(0, np.cumsum(per_doc))
 
@@ -194,8 +212,8 @@ class Bpe:
         if at < len(data):
             yield at, len(data)
 
-    def _lookup(self, hashes, data, start, stop, odd) -> tuple[np.ndarray, np.ndarray]:
-        """(index in the table of each distinct pre-token, number of the distinct pre-token of each occurrence)."""
+    def _lookup(self, hashes, data, start, stop, odd) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the first id of each occurrence, number of its ids, the ids the places are in)."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
         new = np.ones(len(distinct), bool)
@@ -206,13 +224,43 @@ class Bpe:
                 self._forget()
                 return self._lookup(hashes, data, start, stop, odd)
             where = first[new]
-            got = self._learn([data[a:b].tobytes() for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)], odd[where].tolist())
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
-            place = at[new]
+            bodies = [data[a:b].tobytes() for a, b in zip(start[where].tolist(), stop[where].tolist(), strict=True)]
+            sizes, flat = self._flat(bodies, odd[where])
+            place, widths = at[new], stop[where] - start[where]
             self.at = np.insert(self.at, place, len(self.ids) + np.cumsum(sizes) - sizes)
             self.size = np.insert(self.size, place, sizes)
+            self.body_at = np.insert(self.body_at, place, len(self.body) + np.cumsum(widths) - widths)
+            self.body_size = np.insert(self.body_size, place, widths)
             self.known = np.insert(self.known, place, distinct[new])
             self.ids = np.concatenate([self.ids, flat])
+            self.body = np.concatenate([self.body, np.frombuffer(b"".join(bodies), np.uint8)])
             at = np.searchsorted(self.known, distinct)
-        return at, inverse
+        which = at[inverse]
+        begin, size, table = self.at[which], self.size[which], self.ids
+        if len(other := self._others(which, data, start, stop)):  # another pre-token has this hash
+            sizes, flat = self._flat([data[a:b].tobytes() for a, b in zip(start[other].tolist(), stop[other].tolist(), strict=True)], odd[other])
+            begin[other], size[other] = len(table) + np.cumsum(sizes) - sizes, sizes
+            table = np.concatenate([table, flat])
+        return begin, size, table
+
+    def _flat(self, bodies: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = self._learn(bodies, odd.tolist())
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return sizes, np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+
+    def _others(self, which, data, start, stop, together: int = 1 << 19) -> np.ndarray:
+        """The occurrences whose bytes are not those of the table."""
+        width = stop - start
+        wrong = width != self.body_size[which]
+        here = np.flatnonzero(~wrong)
+        upto = np.append(0, np.cumsum(width[here]))
+        at = 0
+        while at < len(here):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + together, "right")) - 1)
+            part, n = here[at:to], width[here[at:to]]
+            inner = np.arange(upto[to] - upto[at]) - np.repeat(upto[at:to] - upto[at], n)
+            differs = data[np.repeat(start[part], n) + inner] != self.body[np.repeat(self.body_at[which[part]], n) + inner]
+            if differs.any():
+                wrong[np.repeat(part, n)[differs]] = True
+            at = to
+        return np.flatnonzero(wrong)
