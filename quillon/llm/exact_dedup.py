@@ -7,7 +7,8 @@ combined per window before the shuffle, so a text that a third of all rows share
 and each row learns its owner through its window's own class number, which no window gives to more rows than it holds.
 
 Defined results: null text counts as empty; null doc_ids sort below every other; of repeated rows that tie in doc_id one
-stays; an empty table gives an empty result; columns beyond those read never matter.
+stays, the first read; texts of any length are compared whole; an empty table gives an empty result; columns beyond those
+read never matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import doc_columns, partitions, release, written
+from quillon.llm.shared import doc_columns, drop, own_name, partitions, release, written
 from quillon.session import table
 
 #: Bytes of text that are combined before the shuffle, and that a trie holds before it spills.
@@ -233,11 +234,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = texts.repartition(partitions(spark), "length", "content_hash").mapInArrow(_resolve(smallest, budget), "ref long, keep_id long, keep_rid long, group_size long")
     digests = both.where("kind = 1").select("ref", F.col("sha256").alias("text_sha256"))
     members = both.where("kind = 0").select("doc_id", "rid", "ref")
-    return (
-        members.join(found, "ref")
-        .join(digests, "ref")
-        .select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
-    )
+    out = members.join(found, "ref").join(digests, "ref").select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "text_sha256")
+    out._quillon_path = both._quillon_path  # for ``drop``, once the result is read
+    return out
 
 
 def _key(doc_id, digest):
@@ -246,13 +245,15 @@ def _key(doc_id, digest):
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged: one of each group of equal texts."""
-    groups = exact_groups(docs, id_col, text_col, keep).where("kept")
-    kept = written(groups.select(_key(F.col("doc_id"), F.col("text_sha256")).alias("__key")), "kept")
+    key = own_name(docs, "key")
+    groups = exact_groups(docs, id_col, text_col, keep)
+    kept = written(groups.where("kept").select(_key(F.col("doc_id"), F.col("text_sha256")).alias(key)), "kept")
+    drop(groups)
     release(docs.sparkSession)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     digest = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), upper, lower).cast("binary"), 256)
-    keyed = docs.withColumn("__key", _key(F.col(f"`{id_col}`"), digest))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    keyed = docs.withColumn(key, _key(F.col(f"`{id_col}`"), digest))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 Features are the hashed byte 2- to 4-grams of letters and blanks of the whole text (A-Z folded, every other ASCII byte a
 blank). A document is the mean of its features' embeddings; as the classifier is linear, each feature's embedding times
 the weights is stored once, and a document's logits are a mean over table rows. Training runs in numpy on the driver over
-a bounded sample of the labelled rows. A temperature and a rejection threshold are fitted on a part that is held back.
+a bounded sample of the labelled rows, of which executors send the counted features of the whole text, at most BUCKETS
+numbers a row. A temperature and a rejection threshold are fitted on a part that is held back.
 
 Defined results: null text, or text without any letter, is ``und`` with score 0; with no labelled row everything is
-``und``; null doc_ids hash as the empty text; repeated rows get equal results; an empty table gives an empty result;
-extra columns never matter.
+``und``; of languages with equal probability the first in order is named; null doc_ids hash as the empty text; repeated
+rows get equal results and count once in training; texts of any length are read whole, in blocks; an empty table gives an
+empty result; extra columns never matter.
 """
 
 from __future__ import annotations
@@ -18,19 +20,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import doc_columns
+from quillon.llm.shared import doc_columns, drop, written
 from quillon.llm.textkit import blocks, mix, pieces, raw
 from quillon.session import table
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 GRAMS = (2, 3, 4)
-#: Bound of the training sample: labelled documents of each language, and bytes of each (predictions read whole texts).
+#: Bounds of the training sample: labelled documents of each language, and of all languages together.
 PER_LANGUAGE = 900
-TRAIN_BYTES = 1000
+MOST_ROWS = 36_000
+#: Bytes of the short cut of each document that is trained beside its whole text.
+SHORT = 60
 EPOCHS = 5
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -90,26 +94,41 @@ def logits(column: pa.Array, model: LanguageModel) -> np.ndarray:
     return sums / np.maximum(counts, 1)[:, None] + model.bias
 
 
-def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
-    """Fits embeddings and softmax by SGD, then temperature and rejection on every fifth document."""
+def counted(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, how often each occurs) of every text of a column."""
+    data, offsets = raw(column)
+    out = []
+    for i in range(len(offsets) - 1):
+        body = data[offsets[i] : offsets[i + 1]]
+        total = np.zeros(BUCKETS, np.int64) if len(body) > BUCKETS else None
+        found = [np.zeros(0, np.int64)]
+        for a, b in blocks(body, np.array([0, len(body)])):
+            here = [x for x, _ in features(body[a:b], np.zeros(b - a, bool))]
+            if total is None:
+                found += here
+            else:
+                for x in here:
+                    total += np.bincount(x, minlength=BUCKETS)
+        if total is None:
+            out.append(np.unique(np.concatenate(found), return_counts=True))
+        else:
+            at = np.flatnonzero(total)
+            out.append((at, total[at]))
+    return out
+
+
+def train(rows: list[list[tuple[np.ndarray, np.ndarray]]], labels: list[str], seed: int = 7) -> LanguageModel:
+    """Fits embeddings and softmax by SGD, then temperature and rejection on every fifth document.
+
+    ``rows``: of each document its features, of the whole text first, then of a short cut of it.
+    """
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
     number = {x: i for i, x in enumerate(languages)}
-    order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))  # whatever order the rows came in
-    rng.shuffle(order)
-    data = []
-    for i in order:
-        body = texts[i].encode("utf-8")
-        start = int(rng.integers(0, max(1, len(body) - TRAIN_BYTES + 1)))
-        short = int(rng.integers(0, max(1, len(body) - 60)))
-        row = []
-        for part in (body[start : start + TRAIN_BYTES], body[short : short + 60]):
-            found = [x for x, _ in features(np.frombuffer(part, np.uint8), np.zeros(len(part), bool))] if part else []
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            row.append(np.unique(flat, return_counts=True))
-        data.append((row, number[labels[i]]))
+    order = rng.permutation(len(rows)).tolist()
+    data = [(rows[i], number[labels[i]]) for i in order]
     held, fit = data[::5], [x for i, x in enumerate(data) if i % 5 or len(data) < 5]
     e = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
     w, bias = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
@@ -152,16 +171,38 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     return model
 
 
-def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model from about ``per_language`` labelled rows of each language, chosen by hash of doc_id; rows whose
-    crc32(doc_id as text) mod 4 is 2 are never seen."""
+def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = MOST_ROWS) -> LanguageModel:
+    """A model from at most ``per_language`` labelled rows of each language and ``most_rows`` of all (one of each language at
+    least), those with the least hashes of doc_id and text; rows whose crc32(doc_id as text) mod 4 is 2 are never seen."""
     read = doc_columns(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").where("lang is not null and text is not null")
-    read = read.where(F.crc32(_id_text()) % 4 != 2)
-    counts = read.groupBy("lang").count()  # one row a language
-    limit = F.lit(per_language) / F.col("count") * (1 << 30)
-    sample = read.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
-    rows = sample.select("lang", F.substring("text", 1, 4 * TRAIN_BYTES).alias("text")).collect()
-    return train([r.text for r in rows], [r.lang for r in rows])
+    read = read.where(F.crc32(_id_text()) % 4 != 2).withColumn("by", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    counts = written(read.groupBy("lang").count(), "languages")  # one row a language
+    most = max(1, min(per_language, most_rows // max(1, counts.count())))
+    limit = F.lit(2.0 * most + 50) / F.col("count") * (1 << 40)
+    low = read.join(counts, "lang").where(F.col("by") < limit).select("lang", "by").distinct()  # about 2 * most + 50 a language
+    chosen = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("by"))).where(F.col("r") <= most).select("lang", "by")
+    sample = read.join(F.broadcast(chosen), ["lang", "by"]).groupBy("lang", "by").agg(F.any_value("text").alias("text"))  # at most ``most_rows`` rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                by, data, offsets = piece.column(1).to_numpy(), *raw(piece.column(2))
+                cuts = []
+                for i, k in enumerate(by.tolist()):
+                    body = data[offsets[i] : offsets[i + 1]]
+                    at = int(np.random.default_rng(k).integers(0, max(1, len(body) - SHORT + 1)))
+                    cuts.append(body[at : at + SHORT].tobytes())
+                columns = [piece.column(0), piece.column(1)]
+                for found in (counted(piece.column(2)), counted(pa.array(cuts, pa.large_binary()))):
+                    edges = np.append(0, np.cumsum([len(x) for x, _ in found]))
+                    columns += [pa.LargeListArray.from_arrays(edges, np.concatenate([x[k] for x in found]).astype(np.int32)).cast(pa.list_(pa.int32())) for k in (0, 1)]
+                yield pa.record_batch(columns, names=["lang", "by", "bucket", "times", "short", "short_times"])
+
+    got = sample.mapInArrow(run, "lang string, by long, bucket array<int>, times array<int>, short array<int>, short_times array<int>").toArrow().sort_by([("by", "ascending"), ("lang", "ascending")])
+    lists = [got[c].combine_chunks() for c in ("bucket", "times", "short", "short_times")]
+    rows = [[tuple(np.asarray(x[i].values).astype(np.int64) for x in lists[:2]), tuple(np.asarray(x[i].values).astype(np.int64) for x in lists[2:])] for i in range(len(got))]
+    drop(counts)
+    return train(rows, got["lang"].to_pylist())
 
 
 def _id_text():

@@ -7,9 +7,13 @@ leaders differ from band to band. Then, only in buckets that still hold more tha
 two components are compared, in blocks of bounded size and by their signatures first. Every link is confirmed on the full
 sets; a block with more candidates than rows confirms them itself and gives a spanning forest of its links. No group is collected anywhere, and its pairs are never all emitted.
 
+Sets are compared as sets of 64-bit shingle hashes.
+
 Defined results: no words or no text gives an empty set, linked with nothing; null doc_ids are linked with nothing and
-have no component; rows that repeat a doc_id and its text are one document; an empty table gives an empty result; extra
-columns never matter.
+have no component; rows that repeat a doc_id and its text are one document; rows that repeat a doc_id with other texts are
+documents of their own, each with its own links; a tie at the threshold is a link; of a component the smallest doc_id
+names it; texts of any length are read whole, a piece at a time; an empty table gives an empty result; extra columns never
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import doc_columns, written
+from quillon.llm.shared import doc_columns, drop, own_name, text_key, written
 from quillon.llm.textkit import mix, pieces, shingle_hashes, word_hashes
 from quillon.session import table
 
@@ -109,6 +114,7 @@ def _set_ids(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in pieces(batch, "text"):
                 h, first = shingle_sets(piece.column(1), k)
@@ -117,9 +123,10 @@ def _sketch(k: int, bands: int, rows: int):
                 a, b = _set_ids(h, first)
                 edges = pa.array(np.arange(len(first)) * bands, pa.int32())
                 yield pa.record_batch(
-                    [piece.column(0), pa.array(np.diff(first)), pa.array(a), pa.array(b), pa.ListArray.from_arrays(edges, pa.array(_band_hashes(s, bands, rows).view(np.int64).reshape(-1))), pa.array([x.tobytes() for x in low], pa.binary())],
-                    names=["doc_id", "n", "a", "b", "bands", "sig"],
+                    [piece.column(0), piece.column(2), pa.array(rid + np.arange(len(first) - 1)), pa.array(np.diff(first)), pa.array(a), pa.array(b), pa.ListArray.from_arrays(edges, pa.array(_band_hashes(s, bands, rows).view(np.int64).reshape(-1))), pa.array([x.tobytes() for x in low], pa.binary())],
+                    names=["doc_id", "text_key", "node", "n", "a", "b", "bands", "sig"],
                 )
+                rid += len(first) - 1
 
     return run
 
@@ -177,7 +184,7 @@ def _block_pairs(threshold: float, slack: float):
     """
 
     def of(pdf: pd.DataFrame, cuts: list[int]) -> pd.DataFrame:
-        arrays, doc = _signs(pdf), pdf["doc_id"].to_numpy()
+        arrays, doc = _signs(pdf), pdf["node"].to_numpy()
         us, vs, at, crowded = [], [], [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
             left, right, ok = _sides(*(x[a:b] for x in arrays), threshold, slack)
@@ -216,7 +223,7 @@ def _block_links(percent: int, slack: float, columns: int = 8192):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right, ok = _sides(*_signs(pdf), percent / 100, slack)
-        doc, n = pdf["doc_id"].to_numpy(), pdf["n"].to_numpy()
+        doc, n = pdf["node"].to_numpy(), pdf["n"].to_numpy()
         row = np.repeat(np.arange(len(pdf)), [len(x) for x in pdf["items"]])
         items, at, times = np.unique(np.concatenate(pdf["items"].to_list()), return_inverse=True, return_counts=True)
         order = np.argsort(at, kind="stable")
@@ -237,32 +244,34 @@ def _block_links(percent: int, slack: float, columns: int = 8192):
 
 
 def near_groups(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, text_key (of its text).
 
     Documents are linked if ``100 * intersection >= percent * union`` of their sets of ``k``-word shingles (A-Z folded).
     With bands * rows = 200 slots, a pair at 0.8 shares no bucket with a chance of about 1e-7, one at 0.85 of 1e-10.
+    A node of the links is a class of equal sets; it goes by the row number of one of its rows, never by a doc_id.
     """
     read = doc_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketches = written(read.mapInArrow(_sketch(k, bands, rows), "doc_id long, n long, a long, b long, bands array<long>, sig binary"), "sketch")
+    sketched = read.withColumn("text_key", text_key("text")).mapInArrow(_sketch(k, bands, rows), "doc_id long, text_key long, node long, n long, a long, b long, bands array<long>, sig binary")
+    sketches = written(sketched, "sketch")
     some = sketches.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
-    reps = written(some.join(classes.select(F.col("rep").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"], "left_semi"), "reps")
+    classes = some.groupBy("a", "b", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least"))
+    reps = written(some.join(classes.select("node"), "node", "left_semi"), "reps")
 
-    in_bands = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    lead = F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("by"), "doc_id", "n")).alias("lead")
-    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("rows"), lead).where("rows > 1").select("bucket", F.col("lead.doc_id").alias("leader"), F.col("lead.n").alias("leader_n"))
+    in_bands = reps.select("node", "n", F.explode("bands").alias("bucket"))
+    lead = F.min(F.struct(F.xxhash64("node", "bucket").alias("by"), "node", "n")).alias("lead")
+    shared = in_bands.groupBy("bucket").agg(F.count("*").alias("rows"), lead).where("rows > 1").select("bucket", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"))
     buckets = written(in_bands.join(shared, "bucket"), "buckets")
     near_size = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
-    pairs = buckets.where((F.col("doc_id") != F.col("leader")) & near_size).select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
+    pairs = buckets.where((F.col("node") != F.col("leader")) & near_size).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct()
     pairs = written(pairs, "pairs")
 
-    wanted = buckets.select("doc_id").distinct()
-    ids = reps.select("doc_id", "a", "b").join(wanted, "doc_id", "left_semi").distinct()
-    texts = read.join(wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets(k), "doc_id long, a long, b long, items array<long>").join(ids, ["doc_id", "a", "b"], "left_semi").select("doc_id", "items").dropDuplicates(["doc_id"]), "sets")
+    wanted = reps.select("node", "doc_id", "a", "b").join(buckets.select("node").distinct(), "node", "left_semi")
+    texts = read.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(k), "doc_id long, a long, b long, items array<long>").join(wanted, ["doc_id", "a", "b"])
+    sets = written(sets.select("node", "items").dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("items").alias("y")), "v")
+        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("items").alias("y")), "v")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("u", "v")
 
@@ -271,15 +280,19 @@ def near_groups(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = BAN
     rows = _open_blocks(buckets, reps, label)
     found = written(rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInPandas(_block_pairs(percent / 100, SLACK), "u long, v long, bucket long, side string, p int, q int"), "open")
     rest = found.where("u is not null").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-    crowded = rows.join(found.where("u is null").select(*_BLOCK), _BLOCK, "left_semi").join(sets, "doc_id")
+    crowded = rows.join(found.where("u is null").select(*_BLOCK), _BLOCK, "left_semi").join(sets, "node")
     more = written(confirmed(rest).union(crowded.groupBy(*_BLOCK).applyInPandas(_block_links(percent, SLACK), "u long, v long")), "edges")
     if not more.isEmpty():
         label = components(edges.union(more))
 
-    grouped = classes.join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").select("a", "b", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketches.select("doc_id", "n", "a", "b").join(grouped, ["a", "b", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    joined = classes.join(label, "node", "left").select("a", "b", "n", "least", F.coalesce("component", "node").alias("component"))
+    names = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    grouped = written(joined.join(names, "component").select("a", "b", "n", "component_id"), "groups")
+    for table_ in (reps, buckets, pairs, sets, found, more, edges):
+        drop(table_)
+    out = sketches.select("doc_id", "text_key", "n", "a", "b").join(grouped, ["a", "b", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def _open_blocks(buckets: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
@@ -288,26 +301,45 @@ def _open_blocks(buckets: DataFrame, reps: DataFrame, label: DataFrame) -> DataF
     In a bucket, rows of the leader's component are the major ones. Minor rows meet major ones and each other in blocks of
     about SIDE by SIDE; major rows never meet. A row is in as many blocks as the other side has, usually one.
     """
-    label = label.withColumnRenamed("node", "doc_id")
-    own = buckets.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    heads = own.where("doc_id = leader").select("bucket", F.col("component").alias("main")).distinct()
+    own = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = own.where("node = leader").select("bucket", F.col("component").alias("main")).distinct()
     minor = F.col("component") != F.col("main")
     own = own.join(heads, "bucket").withColumn("minor", minor)
     sizes = own.groupBy("bucket").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("majors")).where("minors > 0")
     blocks = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
-    own = own.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.when(F.col("minor"), blocks("minors")).otherwise(blocks("majors"))).cast("int"))
+    own = own.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), blocks("minors")).otherwise(blocks("majors"))).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), blocks("majors")).otherwise(blocks("minors")) - 1)))
-    cross = own.select("bucket", F.lit("across").alias("side"), F.when(F.col("minor"), F.col("mine")).otherwise(F.col("other")).alias("p"), F.when(F.col("minor"), F.col("other")).otherwise(F.col("mine")).alias("q"), "doc_id", "component", "n", F.col("minor").alias("is_left"))
+    cross = own.select("bucket", F.lit("across").alias("side"), F.when(F.col("minor"), F.col("mine")).otherwise(F.col("other")).alias("p"), F.when(F.col("minor"), F.col("other")).otherwise(F.col("mine")).alias("q"), "node", "component", "n", F.col("minor").alias("is_left"))
     among = own.where("minor and other = 0 and minors > 1").withColumn("other", F.explode(F.sequence(F.lit(0), blocks("minors") - 1)))
-    among = among.select("bucket", F.lit("among").alias("side"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "doc_id", "component", "n", (F.col("mine") <= F.col("other")).alias("is_left"))
-    return cross.union(among).join(reps.select("doc_id", "sig").dropDuplicates(["doc_id"]), "doc_id")
+    among = among.select("bucket", F.lit("among").alias("side"), F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "component", "n", (F.col("mine") <= F.col("other")).alias("is_left"))
+    return cross.union(among).join(reps.select("node", "sig"), "node")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one stays from each near-duplicate group, all their columns unchanged."""
-    gone = near_groups(docs, percent, k, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` of which one stays from each near-duplicate group, all their columns unchanged.
+
+    Rows that repeat the smallest doc_id of a group all stay.
+    """
+    key, text = own_name(docs, "gone_id"), own_name(docs, "gone_text")
+    gone = near_groups(docs, percent, k, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias(key), F.col("text_key").alias(text))
+    same = (F.col(f"`{id_col}`").cast("long") == F.col(key)) & (text_key(text_col) == F.col(text))
+    return docs.join(gone, same, "left_anti")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), 85)
+    return near_groups(table(spark, sf_dir, "documents"), 85).drop("text_key")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(CASE WHEN len(w) < 5 THEN range(1, least(len(w), 1) + 1) ELSE range(1, len(w) - 3) END) AS p FROM d),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= 85 * (x.n + y.n - common)),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""

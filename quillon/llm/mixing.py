@@ -1,13 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are put in a fixed pseudo-random order. A copy of a document finishes at the virtual time
-``words of its source so far / target of its source``; all copies are sorted by that time over all sources and taken until
-the total budget is reached. No source is ever in one task: a source is cut into bins of its order, running sums are taken
-inside the bins, and only one row per bin goes through the sums over bins. The global sort works the same way, over bins of
-virtual time, which hold about equal shares of the words by construction.
+``words of its source so far / target of its source``; all copies are range-sorted by that time over all sources and taken
+until the total budget is reached. No source is ever in one task: a source is cut into bins of its order, running sums are
+taken inside the bins, and only one row per bin goes through the sums over bins.
 
 Defined results: null or empty text has size 0 and is taken 0 times; the null source is a source, last in order; repeated
-rows are separate documents; an empty table gives an empty result; columns beyond those read never matter.
+rows are separate documents; of copies that finish at one time the order of their keys decides; a text of any length is one
+document; an empty table gives an empty result; columns beyond those read never matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import doc_columns, written
+from quillon.llm.shared import doc_columns, drop, own_name, partitions, text_key, written
 from quillon.session import table
 
-#: Weights by the order of the sources, repeating; the times a document may be used; bins of a source and of virtual time.
+#: Weights by the order of the sources, repeating; the times a document may be used; least bins of a source.
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BINS = 256
@@ -51,87 +51,97 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return x.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def _plan(docs: DataFrame, weights: tuple[int, ...], most: int, bins: int) -> tuple[DataFrame, DataFrame]:
-    """(each document with the words before it in its source's order, every copy with its place in the global order)."""
+def _bins(spark: SparkSession) -> int:
+    """Bins of a source: four for each partition that the session deals to, so a bin's rows follow its size, not the input's."""
+    return max(BINS, 4 * partitions(spark))
+
+
+def _queue(docs: DataFrame, weights: tuple[int, ...], most: int, bins: int) -> DataFrame:
+    """Each document (rid, doc_id, more columns, source, size, key, source_size, target) with ``cum``, the words of its source up to it."""
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string")).cast("binary"))
-    sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")), "sized")
-    sized = sized.withColumn("bin", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * bins / (1 << 24)).cast("int"))
-    per_bin = sized.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = written(docs.select(F.monotonically_increasing_id().alias("rid"), *[c for c in docs.columns if c != "text"], size.alias("size"), key.alias("key")), "sized")
+    binned = sized.withColumn("bin", (F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * bins / (1 << 24)).cast("int"))
+    per_bin = binned.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
     goal = targets(per_bin.groupBy("source").agg(F.sum("in_bin").alias("source_size")), weights, most)
     before = F.coalesce(F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bin_starts = per_bin.withColumn("before", before).select(F.col("source").alias("s"), F.col("bin").alias("b"), "before")
     goal = goal.withColumnRenamed("source", "goal_source")
     offsets = bin_starts.join(goal, F.col("s").eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    inside = F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    queued = sized.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-    queued = written(queued.select("doc_id", "source", "size", "key", "source_size", "target", (F.col("before") + F.col("inside")).alias("cum")), "queued")
+    inside = F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0))
+    queued = binned.withColumn("inside", inside).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    out = written(queued.withColumn("cum", F.col("before") + F.col("inside")).drop("bin", "inside", "before", "s", "b"), "queued")
+    drop(sized)
+    return out
+
+
+#: The global order: virtual finish time first; what follows only settles ties.
+ORDER = ("finish", "key", "doc_id", "no_source", "source", "size", "copy", "rid")
+
+
+def _taken_copies(queued: DataFrame, most: int) -> DataFrame:
+    """The copies that the mix takes (rid, copy, size, finish, words_upto, part), range-sorted by virtual finish time.
+
+    All copies of all sources are dealt by ranges of their order, which is what a global sort is; a range's words are added
+    up, the sums of the ranges before it (one row a range) give its start, and its own rows are summed in order.
+    """
     copies = (
         queued.where("size > 0 and target > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
         .withColumn("finish", (F.col("cum") + F.col("copy") * F.col("source_size")).cast("double") / F.col("target"))
+        .withColumn("no_source", F.col("source").isNull())
     )
-    # virtual time 1 is a source's target; what lies past 2 is last anyway and shares one bin that the budget never reaches
-    copies = copies.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(2.0)) * bins * 4))
-    return queued, copies
-
-
-def _place(queued: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies with the words up to them in the global order, the one-row budget)."""
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("in_slot"))
-    upto = F.sum("in_slot").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    ranged = written(copies.select(*ORDER).repartitionByRange(partitions(queued.sparkSession), *ORDER).withColumn("part", F.spark_partition_id()), "ranged")
     budget = queued.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
-    slots = slots.withColumn("upto", upto).crossJoin(F.broadcast(budget))  # one row
-    return slots, budget
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("in_part"))  # one row a range
+    starts = sums.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    open_parts = starts.crossJoin(F.broadcast(budget)).where("start < budget")  # one row
+    run = F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(F.broadcast(open_parts), "part").withColumn("words_upto", F.col("start") + run)  # one row a range
+    out = written(placed.where("words_upto <= budget").select("rid", "copy", "size", "finish", "words_upto", "part"), "taken")
+    drop(ranged)
+    return out
 
 
-ORDER = ("finish", "key", "doc_id", "source_is_null", "source", "size", "copy")
+def _read(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return doc_columns(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The copies that the mix takes: doc_id, source, copy (0 up), size, finish, and words_upto, their place in the mix."""
-    queued, copies = _plan(doc_columns(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source"), weights, most, bins)
-    slots, _ = _place(queued, copies)
-    run = F.sum("size").over(Window.partitionBy("slot").orderBy("finish", "key", "doc_id", F.col("source").isNull(), "source", "size", "copy").rowsBetween(Window.unboundedPreceding, 0))
-    open_slots = F.broadcast(slots.where("upto - in_slot < budget").select("slot", (F.col("upto") - F.col("in_slot")).alias("start"), "budget"))  # at most 8 * bins rows
-    placed = copies.join(open_slots, "slot").withColumn("words_upto", F.col("start") + run)
-    return placed.where("words_upto <= budget").select("doc_id", "source", "copy", "size", "finish", "words_upto")
+    queued = _queue(_read(docs, id_col, text_col, source_col), weights, most, bins or _bins(docs.sparkSession))
+    return _taken_copies(queued, most).join(queued.select("rid", "doc_id", "source"), "rid").select("doc_id", "source", "copy", "size", "finish", "words_upto")
 
 
-def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken.
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    queued = _queue(_read(docs, id_col, text_col, source_col), weights, most, bins or _bins(docs.sparkSession))
+    times = _taken_copies(queued, most).groupBy("rid").agg(F.count("*").alias("copies"))
+    copies = F.coalesce("copies", F.lit(0)).cast("long")
+    return queued.join(times, "rid", "left").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
-    The mix is a prefix of the global order, so its last copy decides for all others: only the slot of virtual time in
-    which the budget ends is sorted.
-    """
-    queued, copies = _plan(doc_columns(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source"), weights, most, bins)
-    slots, _ = _place(queued, copies)
-    edge = slots.where("upto > budget").agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("in_slot")).alias("start"), "budget"), "slot").alias("e")).select("e.*")
-    in_edge = copies.join(F.broadcast(edge), "slot")  # one row
-    by = F.struct(F.col("finish"), F.col("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), "size", F.col("copy").cast("int").alias("copy"))
-    run = F.sum("size").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
-    last = in_edge.withColumn("by", by).withColumn("run", F.col("start") + run).where("run <= budget").agg(F.max("by").alias("last"))
-    cut = last.crossJoin(F.broadcast(edge.select(F.max("slot").alias("edge_slot"))))  # one row each
-    x = queued.crossJoin(F.broadcast(cut))
-    times = F.lit(0)
-    for c in range(most):
-        finish = (F.col("cum") + F.lit(c) * F.col("source_size")).cast("double") / F.col("target")
-        slot = F.floor(F.least(finish, F.lit(2.0)) * bins * 4)
-        here = F.struct(finish.alias("finish"), F.col("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), F.col("size"), F.lit(c).cast("int").alias("copy"))
-        inside = F.when(F.col("edge_slot").isNull() | (slot < F.col("edge_slot")), 1).when((slot == F.col("edge_slot")) & F.col("last").isNotNull() & (here <= F.col("last")), 1).otherwise(0)
-        times = times + inside
-    times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)
-    return x.withColumn("copies", times.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int = BINS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them, all their columns unchanged.
-
-    Rows that share a doc_id, or have none, are taken equally often.
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bins: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that the mix takes, as often as it takes them, in the order of the mix, all columns unchanged.
+
+    Rows alike in doc_id, text and source are taken equally often, the mix's number of them rounded down, and stand where
+    the first of them does.
     """
-    times = taken(docs, weights, most, bins, id_col, text_col, source_col).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
-    times = written(times, "times")
-    both = docs.join(times, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    spark = docs.sparkSession
+    keyed = _read(docs, id_col, text_col, source_col).withColumn("text_key", text_key("text"))
+    queued = _queue(keyed, weights, most, bins or _bins(spark))
+    alike = ("doc_id", "text_key", "source")
+    got = _taken_copies(queued, most).join(queued.select("rid", *alike), "rid").groupBy(*alike).agg(F.sort_array(F.collect_list("words_upto")).alias("upto"))
+    rows = queued.groupBy(*alike).agg(F.count("*").alias("rows"))  # without a text a row has no words and is never taken
+    pair = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("text_key") == F.col("t"))
+    both = got.join(rows.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_key").alias("t"), "rows"), pair)
+    # of rows alike only the first has ``most`` places at a time, so a list is as long as they are many, times ``most``
+    places = written(both.select("doc_id", "text_key", "source", F.slice("upto", F.lit(1), F.floor(F.size("upto") / F.col("rows")).cast("int")).alias("upto")).where(F.size("upto") > 0), "places")
+    drop(queued)
+    names = [own_name(docs, f"mix_{n}") for n in ("id", "key", "source", "upto")]
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (text_key(text_col) == F.col(names[1])) & F.col(f"`{source_col}`").eqNullSafe(F.col(names[2]))
+    out = docs.join(places.toDF(*names), same).withColumn(names[3], F.explode(names[3]))
+    return out.repartitionByRange(partitions(spark), names[3]).sortWithinPartitions(names[3]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op2_near_dedup": minhash.OP2_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
 }

@@ -10,8 +10,9 @@ random side, the other words of those documents and joined identifier words on t
 Offsets come from one lazy expression, ``(.*?)(pattern)`` or the rest of the text: the lengths of its two groups add up to
 code-point positions. As the rest always matches, no part of a text is searched twice.
 
-Defined results: null text counts as empty and has no spans; repeated rows get equal results; an empty table gives an
-empty result; extra columns never matter.
+Defined results: null text counts as empty and has no spans; null doc_ids are scanned like others but never in the training
+sample; spans that start together come in the order of their kinds; repeated rows get equal results; texts of any length are
+scanned whole, in time that grows as their length; an empty table gives an empty result; extra columns never matter.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE = 2000
 THRESHOLD = 0.6
 SYMBOLS = 63
+#: Matches that are folded together.
+PART = 128
 #: Words that identifiers are made of, for the ordinary side.
 NAMES = tuple(
     "get set is has add remove update delete create find load save read write open close start stop user account order item price "
@@ -40,22 +43,51 @@ NAMES = tuple(
 )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(items: Column) -> Column:
+    """An array in parts of PART items: folds over parts, then over the items of one, stay linear in its length."""
+    some = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / PART).cast("int"))
+    return F.transform(some, lambda i: F.slice(items, i * PART + 1, F.lit(PART)))
+
+
+_SPAN = "struct<start: bigint, end: bigint, value: string>"
+
+
 def _matches(text: Column, pattern: str, rough: Column) -> Column:
     """array<struct<start, end, value>> of the matches of ``pattern``; value is its last group, or the match."""
     full = rf"(?s)(.*?)(?:({pattern})|\z)"
     last = 4 if pattern == ASSIGN else 2
     whole = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(full), F.lit(i)).alias(n) for i, n in ((1, "gap"), (2, "hit"), (last, "value"))])
-    empty = F.expr("cast(array() as array<struct<start: bigint, end: bigint, value: string>>)")
+    empty = F.expr(f"cast(array() as array<{_SPAN}>)")
+    none = F.expr(f"cast(array() as array<array<{_SPAN}>>)")
+    shifted = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
         start = (acc["at"] + F.length(x["gap"])).cast("long")
         end = (start + F.length(x["hit"])).cast("long")
         return F.struct(end.alias("at"), F.array_append(acc["all"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("all"))
 
-    spans = F.aggregate(whole, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("all")), step)["all"]
+    def join(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.array_append(acc["all"], F.transform(part["all"], lambda x: shifted(x, acc["at"]))).alias("all"))
+
+    start = lambda none: F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
+    folded = lambda w: F.aggregate(F.transform(_parts(w), lambda part: F.aggregate(part, start(empty), step)), start(none), join)
+    spans = F.flatten(_let(whole, folded)["all"])
     return F.when(rough, F.filter(spans, lambda x: x["start"] < x["end"])).otherwise(empty)
 
 
+def _clear_of(runs: Column, spans: Column) -> Column:
+    """The ``runs`` that meet no one of ``spans``, which are looked at by parts of neighbours."""
+    parts = lambda s: F.transform(_parts(s), lambda p: F.struct(F.array_min(F.transform(p, lambda b: b["start"])).alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("all")))
+    meets = lambda b, x: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    clear = lambda ps: F.filter(runs, lambda x: ~F.exists(ps, lambda p: meets(p, x) & F.exists(p["all"], lambda b: meets(b, x))))
+    return F.when(F.size(spans) == 0, runs).otherwise(_let(parts(F.array_sort(spans)), clear))
+
+
 def _base(text: Column) -> dict[str, Column]:
     spans = {
         "assign": F.filter(_matches(text, ASSIGN, text.rlike(ASSIGN)), lambda x: F.length(x["value"]) >= 8),
@@ -138,9 +170,8 @@ def scan(docs: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD, id
     kinds = _base(text)
     read = read.select("doc_id", "text", *[c.alias(k) for k, c in kinds.items()])
     runs = _matches(text, RUN, text.rlike(RUN[:-2] + "}"))
-    base = F.concat(*kinds)
-    free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    read = read.withColumn("markov", F.filter(F.filter(runs, free), lambda x: _ratio(x["value"], ratios) >= threshold))
+    read = read.withColumn("runs", runs)
+    read = read.withColumn("markov", F.filter(_clear_of(F.col("runs"), F.concat(*kinds)), lambda x: _ratio(x["value"], ratios) >= threshold))
     tagged = [_tagged(rank, kind) for rank, kind in enumerate((*kinds, "markov"))]
     return read.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in (*kinds, "markov")], F.array_sort(F.concat(*tagged)).alias("found"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where the session has none (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir, or a temporary one where a session on one machine has none (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quillon-"))
     return _own[0]
@@ -54,6 +57,19 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_key(text_col: str):
+    """Which text a row has, for rows that repeat a doc_id."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
 def release(spark: SparkSession) -> None:
     """Lets the driver collect its garbage, so shuffle files of finished jobs are deleted now instead of some time later."""
     gc.collect()
