@@ -93,8 +93,8 @@ WEIGHTS = {"whole": 1.0, "contextual": 1.0, "sentence": 0.9, "lexical": 0.8, "se
 RANK_CONSTANT = 60
 # BM25.
 K1, B, DF_CEILING, TF_MOST = 1.2, 0.75, 0.15, 255
-# Planner costs in ms, and its ladder: nprobe, per-strategy k (0: the configured), rescore (0: the configured), candidates.
-COST_FIXED, COST_PROBE, COST_USER_1K, COST_TAIL, COST_LEXICAL, COST_RESCORE, COST_SAFETY = 0.9, 0.04, 0.014, 0.6, 0.15, 0.002, 8.0
-LADDER = ((12, 0, 0, 3072), (8, 0, 0, 3072), (6, 18, 16, 3072), (4, 14, 12, 2048), (3, 10, 10, 2048), (2, 8, 8, 1536), (1, 6, 6, 1024))
-FLOOR = (1, 6, 4, 1024)
-FULL = (24, 24, 16, 6144)
+# Languages by the script that is read out; the earlier wins a tie.
+SPOKEN = (
+    ("bn", "ঀ-৿"), ("gu", "઀-૿"), ("pa", "਀-੿"), ("or", "଀-୿"), ("ta", "஀-௿"),
+    ("te", "ఀ-౿"), ("kn", "ಀ-೿"), ("ml", "ഀ-ൿ"), ("ur", "؀-ۿ"), ("hi", "ऀ-ॿ"),
+)

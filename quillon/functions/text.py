@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,26 +21,33 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space at either end, Unicode's included (Spark's trim takes blanks only)."""
+    return F.regexp_replace(col(c), "^[\\s\\p{Z}\\x1c-\\x1f\\x85]+|[\\s\\p{Z}\\x1c-\\x1f\\x85]+$", "")
+
+
 def raw_tokens(c: Column | str) -> Column:
     """Lower-cased tokens of two characters or more, in order."""
     return F.filter(F.split(F.regexp_replace(F.lower(col(c)), NOT_WORD, " "), r"\s+"), lambda t: F.length(t) > 1)
 
 
 def is_stopword(t: Column) -> Column:
-    """By script: English list for tokens with Latin letters, Hindi and Marathi list for Devanagari, no other."""
-    latin, deva = t.rlike("(?i)[a-z]"), t.rlike("[ऀ-ॿ]")
-    return F.when(latin, t.isin(K.STOP_EN)).when(deva, t.isin(K.STOP_HI)).otherwise(False)
+    """English function words, and Hindi and Marathi ones; each list has words of its own script only, so no script test is due."""
+    return t.isin(K.STOP_EN + K.STOP_HI)
 
 
 def content_tokens(c: Column | str) -> Column:
     """Tokens that aren't stop words, repeats kept; all tokens if nothing would be left."""
-    raw = raw_tokens(c)
-    return fallback(raw)
+    return fallback(raw_tokens(c))
 
 
 def fallback(raw: Column) -> Column:
-    kept = F.filter(raw, lambda t: ~is_stopword(t))
-    return F.when(F.size(kept) > 0, kept).otherwise(raw)
+    return let(raw, lambda r: let(F.filter(r, lambda t: ~is_stopword(t)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(r)))
 
 
 def content_set(c: Column | str) -> Column:
@@ -58,22 +66,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Trimmed sentences; a cut follows a danda or . ! ? and white space."""
-    return F.filter(F.transform(F.split(col(c), "(?<=[।.!?])\\s+"), F.trim), lambda s: s != "")
-
+    return F.filter(F.transform(F.split(col(c), "(?<=[।.!?])\\s+"), strip), lambda s: s != "")
 
-def sentence_spans(c: Column | str) -> Column:
-    """array<struct<s, e>> of character offsets of the sentences; the whole text if there is none."""
-    text = col(c)
-    parts = F.filter(F.split(text, "(?<=[।.!?])\\s+"), lambda p: p != "")
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s: int, e: int>>)").alias("all"))
 
-    def step(acc: Column, p: Column) -> Column:
-        s = F.locate_from(p, text, acc["at"]) if hasattr(F, "locate_from") else F.call_function("locate", p, text, acc["at"] + 1) - 1
-        s = F.when(s < 0, acc["at"]).otherwise(s)
-        return F.struct((s + F.length(p)).alias("at"), F.array_append(acc["all"], F.struct(s.alias("s"), (s + F.length(p)).alias("e"))).alias("all"))
-
-    spans = F.aggregate(parts, start, step)["all"]
-    return F.when(F.size(spans) > 0, spans).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"))))
+def sentence_pieces(c: Column | str) -> Column:
+    """The text cut where white space follows a danda or . ! ?; a piece begins with that white space, so joined they are the text."""
+    return F.split(col(c), "(?<=[।.!?])(?=\\s)")
 
 
 def numeric_spans(c: Column | str) -> Column:
@@ -150,11 +148,15 @@ def strip_thinking(c: Column | str) -> Column:
 
 
 def char_entropy(c: Column | str) -> Column:
-    """Shannon bits of a text's characters, by counting each distinct one."""
-    chars = F.split(col(c), "", -1)
-    n = F.length(col(c))
-    shares = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
-    return F.when(n > 0, -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))).otherwise(0.0)
+    """Shannon bits of a text's characters: one replacement for each distinct one."""
+
+    def of(text: Column) -> Column:
+        n = F.length(text)
+        share = lambda x: (n - F.length(F.call_function("replace", text, x, F.lit("")))) / n
+        bits = F.transform(F.array_distinct(F.split(text, "", -1)), lambda x: let(share(x), lambda p: F.when(p > 0, p * F.log2(p)).otherwise(0.0)))
+        return F.when(n > 0, -F.aggregate(bits, F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
+
+    return let(col(c), of)
 
 
 def dominant_script(c: Column | str) -> Column:
@@ -226,3 +228,48 @@ def first_line_title(c: Column | str) -> Column:
     line = F.trim(F.regexp_extract(col(c), r"(?m)^[ \t]*(\S[^\n]*)$", 1))
     bare = F.regexp_replace(F.when(line == "", F.lit("Pasted text")).otherwise(line), r"^#+\s*", "")
     return F.when(F.length(bare) > 64, F.concat(F.substring(bare, 1, 61), F.lit("..."))).otherwise(bare)
+
+
+def script_language(c: Column | str) -> Column:
+    """The language a text is read out in: that of the script with most characters, ``en`` where none has three."""
+    counts = F.array(*[F.struct(F.regexp_count(col(c), F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, r) in enumerate(K.SPOKEN)])
+    return let(F.array_max(counts), lambda best: F.when(best["n"] >= 3, best["code"]).otherwise("en"))
+
+
+def heading_of(c: Column | str) -> Column:
+    """The heading that a line is, or null: after # signs, or short without a full stop and in capitals or numbered."""
+    t = strip(c)
+    marked = F.regexp_extract(t, r"^#{1,6}\s+(.{1,90})$", 1)
+    letters = F.regexp_replace(t, r"[^\p{L}]", "")
+    short = (F.length(t) <= 80) & ~t.rlike(r"[.!?।]$")
+    capitals = (F.length(letters) >= 3) & (letters == F.upper(letters)) & letters.rlike("[A-Z]")
+    return F.when(marked != "", strip(marked)).when((t != "") & short & (capitals | t.rlike(r"^\d+(\.\d+)*\s+\S")), t)
+
+
+def ingest_normalise(c: Column | str, most: int = 600_000) -> Column:
+    """Line ends to \\n, hard blanks to blanks, lines wrapped inside a sentence joined, blanks and empty lines collapsed, clamped."""
+    out = F.regexp_replace(col(c), r"\r\n?", "\n")
+    out = F.regexp_replace(out, "\u00a0", " ")
+    out = F.regexp_replace(out, r"([^\n।.!?:;])\n(?!\n)", "$1 ")
+    out = F.regexp_replace(out, r"[ \t]+", " ")
+    return F.substring(strip(F.regexp_replace(out, r"\n{3,}", "\n\n")), 1, most)
+
+
+def binary_share(c: Column | str, sample: int = 4000) -> Column:
+    """Share of replacement and control characters (tab to carriage return excepted) in the first ``sample``."""
+    head = F.substring(col(c), 1, sample)
+    return F.regexp_count(head, F.lit("[\\x00-\\x08\\x0e-\\x1f\ufffd]")) / F.greatest(F.length(head), F.lit(1))
+
+
+def prompt(query: Column, sources: Column, most: int = 5) -> Column:
+    """The prompt of a generated answer: ``sources`` array<struct<title, text>>, at most five of 4,000 characters, and the query of 1,000."""
+    listed = F.transform(F.slice(sources, 1, most), lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(F.regexp_replace(F.coalesce(s["title"], F.lit("")), '[<>"]', ""), 1, 120), F.lit("\n"), F.substring(F.coalesce(s["text"], F.lit("")), 1, 4000)))
+    return F.concat(F.array_join(listed, "\n\n"), F.lit("\n\n"), F.substring(query, 1, 1000))
+
+
+def mean_pool(vectors: Column, mask: Column) -> Column:
+    """The mean of the token vectors whose mask is 1; zeros where there is none."""
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["1"] == 1)
+    n = F.greatest(F.size(kept), F.lit(1))
+    width = F.coalesce(F.size(F.try_element_at(vectors, F.lit(1))), F.lit(0))
+    return F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.get(x["0"], j).cast("double")) / n)

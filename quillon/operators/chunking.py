@@ -44,25 +44,32 @@ def by_topic(docs: DataFrame, id_col: str, text_col: str, least: int = SEGMENT,
     """Segments between neighbouring sentences that share few words.
 
     A cut needs ``least`` characters before it. Fewer than three sentences, or fewer than two segments of ``least``
-    characters, give nothing; k counts short segments too. One fold over a text's sentences, inside the JVM.
+    characters, give nothing; k counts short segments too. A text is cut once into pieces that hold their white space; each
+    piece is compared with the one before, one fold over lengths and likenesses finds the cuts, and segments are joined
+    from pieces, so the work grows as the text's length.
     """
-    d = _texts(docs, id_col, text_col).select("id", "text", T.sentence_spans("text").alias("spans")).where(F.size("spans") >= 3)
-    d = d.withColumn("parts", F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.filter(F.array_distinct(F.split(F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"]), r"\s+")), lambda w: w != "").alias("words"))))
-    no_words = F.expr("cast(array() as array<string>)")
+    d = _texts(docs, id_col, text_col)
+    blank = r"^[\s]+"
+    bare = lambda x, i: F.when(i == 0, x).otherwise(F.regexp_replace(x, blank, ""))
+    words = lambda t: F.filter(F.array_distinct(F.split(t, r"\s+")), lambda w: w != "")
+    # sentence: its piece's number, its length, its words
+    listed = lambda pieces: F.filter(F.transform(pieces, lambda x, i: F.struct(i.alias("i"), F.length(bare(x, i)).alias("n"), words(bare(x, i)).alias("words"))), lambda x: x["n"] > 0)
+    near = lambda ss: F.transform(ss, lambda x, i: F.struct(x["i"].alias("i"), x["n"].alias("n"), F.when(i > 0, T.jaccard(F.get(ss, i - 1)["words"], x["words"])).otherwise(1.0).alias("near")))
     none = F.expr("cast(array() as array<struct<s: int, e: int>>)")
-    first = F.struct(none.alias("done"), F.lit(-1).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("size"), no_words.alias("words"))
 
     def step(acc: Column, x: Column) -> Column:
-        cut = (acc["s"] >= 0) & (acc["size"] >= least) & (T.jaccard(acc["words"], x["words"]) < part)
-        size = x["e"] - x["s"]
+        cut = (acc["s"] >= 0) & (acc["size"] >= least) & (x["near"] < part)
         begin = cut | (acc["s"] < 0)
         closed = F.array_append(acc["done"], F.struct(acc["s"].alias("s"), acc["e"].alias("e")))
-        return F.struct(F.when(cut, closed).otherwise(acc["done"]).alias("done"), F.when(begin, x["s"]).otherwise(acc["s"]).alias("s"), x["e"].alias("e"), F.when(begin, size).otherwise(acc["size"] + size).alias("size"), x["words"].alias("words"))
-
-    groups = F.aggregate("parts", first, step, lambda acc: F.array_append(acc["done"], F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
-    cut = F.transform("groups", lambda g, k: F.struct(k.alias("k"), F.regexp_replace(F.substring(F.col("text"), g["s"] + 1, g["e"] - g["s"]), r"^\s+|\s+$", "").alias("chunk")))
-    kept = d.select("id", "text", groups.alias("groups")).select("id", F.filter(cut, lambda c: F.length(c["chunk"]) >= least).alias("kept")).where(F.size("kept") >= 2)
-    return kept.select("id", F.inline("kept"))
+        return F.struct(F.when(cut, closed).otherwise(acc["done"]).alias("done"), F.when(begin, x["i"]).otherwise(acc["s"]).alias("s"), x["i"].alias("e"), F.when(begin, x["n"]).otherwise(acc["size"] + x["n"]).alias("size"))
+
+    start = F.struct(none.alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit(0).alias("size"))
+    groups = lambda ss: F.aggregate(near(ss), start, step, lambda acc: F.array_append(acc["done"], F.struct(acc["s"].alias("s"), acc["e"].alias("e"))))
+    text_of = lambda pieces, g: F.regexp_replace(F.array_join(F.slice(pieces, g["s"] + 1, g["e"] - g["s"] + 1), ""), r"^\s+|\s+$", "")
+    empty = F.expr("cast(array() as array<struct<k: int, chunk: string>>)")
+    cut = lambda pieces, gs: F.filter(F.transform(gs, lambda g, k: F.struct(k.alias("k"), text_of(pieces, g).alias("chunk"))), lambda c: F.length(c["chunk"]) >= least)
+    kept = T.let(T.sentence_pieces("text"), lambda pieces: T.let(listed(pieces), lambda ss: F.when(F.size(ss) >= 3, T.let(groups(ss), lambda gs: cut(pieces, gs))).otherwise(empty)))
+    return d.select("id", kept.alias("kept")).where(F.size("kept") >= 2).select("id", F.inline("kept"))
 
 
 def measures(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from quillon.functions import constants as K
 from quillon.functions import text as T
+from quillon.session import stored
+
+
+def tokenised(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, toks, len): content tokens, and their number before any ceiling."""
+    toks = passages.select(F.col(id_col).alias("id"), T.content_tokens(text_col).alias("toks"))
+    return toks.select("id", "toks", F.size("toks").cast("long").alias("len"))
 
 
 def postings(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,7 +24,7 @@ def postings(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def lengths(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, len): content tokens before any ceiling."""
-    return passages.select(F.col(id_col).alias("id"), F.size(T.content_tokens(text_col)).cast("long").alias("len"))
+    return tokenised(passages, id_col, text_col).select("id", "len")
 
 
 def stats(lens: DataFrame) -> DataFrame:
@@ -28,25 +35,25 @@ def stats(lens: DataFrame) -> DataFrame:
 def frequencies(posts: DataFrame, n: DataFrame) -> DataFrame:
     """(term, df) of the terms that at most max(2, 15 % of all) passages have."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(n.select("n"))).where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * K.DF_CEILING))).select("term", "df")
+    return df.crossJoin(F.broadcast(n.select("n"))).where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * K.DF_CEILING))).select("term", "df")  # one row
 
 
 def scored(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, most_postings: int | None = None) -> DataFrame:
     """(query_id, id, score) of every passage that shares a term with the query.
 
-    Only postings of query terms meet the query side. With ``most_postings`` a query reads its terms rarest first and
-    starts no term once that many postings are read.
+    Only postings of query terms are counted, and they carry their passage's length, so no other table of the corpus is
+    joined. With ``most_postings`` a query reads its terms rarest first and starts no term once that many postings are read.
     """
-    lens = lengths(passages, id_col, text_col)
-    one = stats(lens)
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(T.content_set(query_text)).alias("term"))
-    posts = postings(passages, id_col, text_col)
-    df = frequencies(posts, one)
-    asked = terms.join(df, "term")
+    toks = tokenised(passages, id_col, text_col)
+    one = stats(toks)
+    met = toks.select("id", "len", F.explode("toks").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    posts = stored(met.groupBy("id", "len", "term").agg(F.least(F.count("*"), F.lit(K.TF_MOST)).alias("tf")), "postings")
+    asked = terms.join(frequencies(posts, one), "term")
     if most_postings is not None:
         before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
         asked = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_postings)
-    x = asked.join(posts, "term").join(lens, "id").crossJoin(F.broadcast(one))  # one row
+    x = asked.join(posts, "term").crossJoin(F.broadcast(one))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K.K1 * (1 - K.B + K.B * F.col("len") / F.col("avg_len"))
     part = idf * F.col("tf") * (K.K1 + 1) / (F.col("tf") + norm)
@@ -59,6 +66,31 @@ def top(hits: DataFrame, k: int, by: str = "query_id", score: str = "score", id_
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def rescaled(ranked: DataFrame) -> DataFrame:
+    """Scores divided by the query's best, so they compare with cosines."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    return ranked.withColumn("score", F.round(F.when(best > 0, F.col("score") / best).otherwise(0.0), 6))
+
+
 def search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 24, most_postings: int | None = None) -> DataFrame:
     """BM25 top ``k``: (query_id, id, score, rank)."""
     return top(scored(passages, queries, id_col, text_col, query_id, query_text, most_postings), k)
+
+
+def sorted_postings(posts: DataFrame, df: DataFrame) -> DataFrame:
+    """Postings of the terms under the ceiling, dealt by term and sorted by term and passage: the layout of a stored index."""
+    return posts.join(df, "term").select("term", "df", "id", "tf").repartition("term").sortWithinPartitions("term", "id")
+
+
+def offsets(df: DataFrame, bins: int = 256) -> DataFrame:
+    """(term, df, start): where each term's postings begin in the list of all, terms in order.
+
+    Running sums inside bins of the terms' first characters' hash would break the order, so bins are ranges: the sums of the
+    ranges, one row each, give their starts.
+    """
+    part = df.repartitionByRange(bins, "term").withColumn("part", F.spark_partition_id())
+    part = stored(part, "ranges")
+    sums = part.groupBy("part").agg(F.sum("df").alias("n"))
+    starts = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a range
+    run = F.sum("df").over(Window.partitionBy("part").orderBy("term").rowsBetween(Window.unboundedPreceding, -1))
+    return part.join(F.broadcast(starts), "part").select("term", "df", (F.col("base") + F.coalesce(run, F.lit(0))).alias("start"))

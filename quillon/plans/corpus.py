@@ -103,6 +103,19 @@ ORACLE_SQL = {
     "chunk_stats_rollup": f"""{_SENT}, c as (select 'whole' as strategy, doc_id, text as chunk from d where text <> '' union all select 'sentence', doc_id, chunk from s where length(chunk) >= {chunking.SENTENCE}),
         x as (select strategy, doc_id, count(*) as n, sum(length(chunk)) as chars from c group by all)
         select coalesce(strategy, 'TOTAL') as strategy, sum(n)::bigint as chunks, round(sum(n) / count(*), 6) as a_text, round(sum(chars) / sum(n), 6) as mean_chars from x group by rollup (strategy)""",
+    "chunk_semantic": f"""with recursive t as (select doc_id, string_split(regexp_replace(text, '([।.!?])([\\s\\x0b])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as ps from documents where text <> ''),
+        p as (select doc_id, unnest(ps) as piece, generate_subscripts(ps, 1) as i from t),
+        o as (select doc_id, i, piece, case when i = 1 then piece else regexp_replace(piece, '^[\\s\\x0b]+', '') end as sent from p),
+        s as (select doc_id, i, sent, row_number() over (partition by doc_id order by i) as j, list_distinct(list_filter(string_split_regex(sent, '[\\s\\x0b]+'), lambda w: w <> '')) as words from o where sent <> ''),
+        n as (select *, length(sent) as size, lag(words) over (partition by doc_id order by j) as last from s),
+        x as (select doc_id, i, j, size, case when last is null then 1.0 when len(list_distinct(list_concat(words, last))) = 0 then 0.0 else len(list_intersect(words, last)) / len(list_distinct(list_concat(words, last))) end as near from n),
+        r as (select doc_id, j, i, 0 as g, size as total from x where j = 1 union all
+          select x.doc_id, x.j, x.i, case when r.total >= {chunking.SEGMENT} and x.near < {chunking.PART} then r.g + 1 else r.g end, case when r.total >= {chunking.SEGMENT} and x.near < {chunking.PART} then x.size else r.total + x.size end
+          from r join x on x.doc_id = r.doc_id and x.j = r.j + 1),
+        b as (select doc_id, g, min(i) as s, max(i) as e from r group by all),
+        c as (select b.doc_id, g as k, regexp_replace(array_to_string(t.ps[b.s:b.e], ''), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') as chunk from b join t on t.doc_id = b.doc_id where b.doc_id in (select doc_id from s group by doc_id having count(*) >= 3)),
+        q as (select *, count(*) over (partition by doc_id) as n from c where length(chunk) >= {chunking.SEGMENT})
+        select doc_id, k::bigint as k, md5(chunk) as chunk_md5 from q where n >= 2""",
     "deadline_plan": f"""with o as (select o_orderkey, floor(o_totalprice::double) % 1200 / 100 as t, o_orderkey % 5000 as c from orders),
         b as (select o_orderkey, t::double - {planner.RESERVE} - {planner.TAIL}::double - {planner.LEXICAL}::double - c::double / 1000 * {planner.USER}::double as budget from o)
         select o_orderkey, p.lists, p.hits, p.rescored, p.candidates, p.degraded from (select o_orderkey, {_plan_sql()} as p from b)""",

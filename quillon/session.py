@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def session(app: str = "quillon", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the engine is written for: UTC, AQE and its skew join on.
@@ -26,3 +32,22 @@ def session(app: str = "quillon", master: str | None = None, **conf: str) -> Spa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one for a session on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="quillon-scratch-"))
+        base = _own[0]
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for results that several branches of a plan read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
