@@ -144,7 +144,7 @@ def partial_json(c: Column | str, key: str) -> Column:
 
 
 def strip_thinking(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(col(c), r"(?is)<(think|thinking|reasoning)>.*?</\1>", ""))
+    return strip(F.regexp_replace(col(c), r"(?is)<(think|thinking|reasoning)>.*?</\1>", ""))
 
 
 def char_entropy(c: Column | str) -> Column:
@@ -197,7 +197,7 @@ def clamp_query(c: Column | str, most: int = 320) -> Column:
     """At most ``most`` characters, cut at the last blank if that is past 60 % of them."""
     cut = F.substring(col(c), 1, most)
     last = F.length(cut) - F.instr(F.reverse(cut), " ")
-    at = F.when((F.instr(cut, " ") > 0) & (last > most * 0.6), F.trim(F.substring(cut, F.lit(1), last))).otherwise(F.trim(cut))
+    at = F.when((F.instr(cut, " ") > 0) & (last > most * 0.6), strip(F.substring(cut, F.lit(1), last))).otherwise(strip(cut))
     return F.when(F.length(col(c)) <= most, col(c)).otherwise(at)
 
 
@@ -225,8 +225,8 @@ def fold_romanised(c: Column | str) -> Column:
 
 def first_line_title(c: Column | str) -> Column:
     """The first line with text, # signs stripped, 64 characters at most."""
-    line = F.trim(F.regexp_extract(col(c), r"(?m)^[ \t]*(\S[^\n]*)$", 1))
-    bare = F.regexp_replace(F.when(line == "", F.lit("Pasted text")).otherwise(line), r"^#+\s*", "")
+    line = F.get(F.filter(F.transform(F.split(col(c), "\n"), strip), lambda x: x != ""), F.lit(0))
+    bare = F.regexp_replace(F.coalesce(line, F.lit("Pasted text")), r"^#+\s*", "")
     return F.when(F.length(bare) > 64, F.concat(F.substring(bare, 1, 61), F.lit("..."))).otherwise(bare)
 
 
@@ -269,7 +269,7 @@ def prompt(query: Column, sources: Column, most: int = 5) -> Column:
 
 def mean_pool(vectors: Column, mask: Column) -> Column:
     """The mean of the token vectors whose mask is 1; zeros where there is none."""
-    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["1"] == 1)
+    kept = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1)
     n = F.greatest(F.size(kept), F.lit(1))
     width = F.coalesce(F.size(F.try_element_at(vectors, F.lit(1))), F.lit(0))
-    return F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.get(x["0"], j).cast("double")) / n)
+    return F.transform(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), lambda j: F.aggregate(kept, F.lit(0.0), lambda a, x: a + F.get(x["v"], j).cast("double")) / n)

@@ -8,26 +8,11 @@ from pyspark.sql import functions as F
 from quillon.functions import constants as K
 from quillon.functions import text as T
 from quillon.operators import fusion, gates, lexical, vectors
-from quillon.plans import corpus
+from quillon.plans import corpus, sources, texts
 from quillon.session import table
 
 
-def _list_sql(words: list[str] | tuple[str, ...]) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
-def _raw_sql(c: str) -> str:
-    return f"list_filter(string_split_regex(regexp_replace(lower({c}), '{T.NOT_WORD}', ' ', 'g'), '\\s+'), lambda t: length(t) > 1)"
-
-
-def _content_sql(c: str) -> str:
-    kept = (
-        f"list_filter({_raw_sql(c)}, lambda t: not (case when regexp_matches(t, '[a-zA-Z]') then list_contains({_list_sql(K.STOP_EN)}, t)"
-        f" when regexp_matches(t, '[ऀ-ॿ]') then list_contains({_list_sql(K.STOP_HI)}, t) else false end))"
-    )
-    return f"(case when len({kept}) > 0 then {kept} else {_raw_sql(c)} end)"
-
-
+_raw_sql, _content_sql = texts.raw_sql, texts.content_sql
 _DOCS = "coalesce(text, '')"
 _PARTS = """with docs as (select doc_id, {content} as toks from documents), lens as (select doc_id, len(toks) as len from docs),
 one as (select count(*) as n, avg(len) as avg_len from lens),
@@ -220,5 +205,6 @@ ORACLE_SQL = {
     "gate_retrieval": f"{_PAIRS} select query_id, case when best < 0.8 then 'LOW_CONFIDENCE' end as reason from placed where place = 1",
 }
 
-QUERIES |= corpus.QUERIES
-ORACLE_SQL |= corpus.ORACLE_SQL
+for module in (corpus, texts, sources):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
