@@ -19,7 +19,7 @@ def has_question(q: Column) -> Column:
 
 def input_gate(c: Column | str) -> Column:
     """The reason to refuse a question, or null to let it pass; the first rule that fits wins."""
-    q = F.trim(F.coalesce(T.col(c), F.lit("")))
+    q = T.strip(F.coalesce(T.col(c), F.lit("")))
     compact = F.regexp_replace(q, r"\s+", "")
     out = F.when(q == "", "EMPTY").when(F.length(q) < 3, "TOO_SHORT").when(q.rlike(K.SELF_HARM), "UNSAFE")
     for p in K.UNSAFE:
@@ -38,6 +38,19 @@ def retrieval_gate(top: Column, agreement: Column, overlap: Column, min_top: flo
     return F.when((top < min_top) & ~rescued, "LOW_CONFIDENCE").when((agreement < min_agreement) & (overlap < 0.15), "NO_AGREEMENT")
 
 
+def needs_support(c: Column | str) -> Column:
+    """Whether a refused question speaks of self-harm: it gets words of support and where to turn, never a plain refusal."""
+    return T.strip(F.coalesce(T.col(c), F.lit(""))).rlike(K.SELF_HARM)
+
+
+def chosen_gate(top: Column, agreement: Column, overlap: Column, rescored: Column, of_user: Column, **fitted) -> Column:
+    """The retrieval gate with the thresholds that a hit calls for: no score test where hits were not rescored, no rescue for
+    hits of the corpus, all of it for a user's own. ``fitted`` thresholds replace the defaults."""
+    no_score = retrieval_gate(top, agreement, overlap, **{**fitted, "min_top": float("-inf")})
+    no_rescue = retrieval_gate(top, agreement, overlap, **{**fitted, "rescue_score": float("inf")})
+    return F.when(~rescored, no_score).when(~of_user, no_rescue).otherwise(retrieval_gate(top, agreement, overlap, **fitted))
+
+
 def citation_gate(cited: Column, available: Column) -> Column:
     """FABRICATED_CITATION if a citation is no whole number from 1 to ``available``; an empty list passes."""
     return F.when(F.exists(cited, lambda n: (n != F.floor(n)) | (n < 1) | (n > available)), "FABRICATED_CITATION")
@@ -81,4 +94,4 @@ def extract_answer(query: Column, passage: Column, most: int = 2) -> Column:
     scored = F.transform(parts, lambda s, i: F.struct((-T.overlap(asked, T.content_set(s))).alias("s"), i.alias("i"), s.alias("t")))
     best = F.transform(F.slice(F.array_sort(scored), 1, most), lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t")))
     picked = F.array_join(F.transform(F.array_sort(best), lambda x: x["t"]), " ")
-    return F.when(F.size(parts) <= most, F.trim(passage)).otherwise(picked)
+    return F.when(F.size(parts) <= most, T.strip(passage)).otherwise(picked)

@@ -32,24 +32,27 @@ def stats(lens: DataFrame) -> DataFrame:
     return lens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def frequencies(posts: DataFrame, n: DataFrame) -> DataFrame:
-    """(term, df) of the terms that at most max(2, 15 % of all) passages have."""
+def frequencies(posts: DataFrame, n: DataFrame, ceiling: bool = True) -> DataFrame:
+    """(term, df) of the terms that at most max(2, 15 % of all) passages have, or of all terms."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    if not ceiling:
+        return df
     return df.crossJoin(F.broadcast(n.select("n"))).where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * K.DF_CEILING))).select("term", "df")  # one row
 
 
-def scored(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, most_postings: int | None = None) -> DataFrame:
+def scored(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, most_postings: int | None = None, ceiling: bool = True) -> DataFrame:
     """(query_id, id, score) of every passage that shares a term with the query.
 
     Only postings of query terms are counted, and they carry their passage's length, so no other table of the corpus is
     joined. With ``most_postings`` a query reads its terms rarest first and starts no term once that many postings are read.
+    Without ``ceiling`` (a user's own sources) no term is too frequent and no count is cut at 255.
     """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(T.content_set(query_text)).alias("term"))
     toks = tokenised(passages, id_col, text_col)
     one = stats(toks)
     met = toks.select("id", "len", F.explode("toks").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = stored(met.groupBy("id", "len", "term").agg(F.least(F.count("*"), F.lit(K.TF_MOST)).alias("tf")), "postings")
-    asked = terms.join(frequencies(posts, one), "term")
+    posts = stored(met.groupBy("id", "len", "term").agg((F.least(F.count("*"), F.lit(K.TF_MOST)) if ceiling else F.count("*")).alias("tf")), "postings")
+    asked = terms.join(frequencies(posts, one, ceiling), "term")
     if most_postings is not None:
         before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))
         asked = asked.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_postings)
@@ -72,9 +75,9 @@ def rescaled(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("score", F.round(F.when(best > 0, F.col("score") / best).otherwise(0.0), 6))
 
 
-def search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 24, most_postings: int | None = None) -> DataFrame:
+def search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k: int = 24, most_postings: int | None = None, ceiling: bool = True) -> DataFrame:
     """BM25 top ``k``: (query_id, id, score, rank)."""
-    return top(scored(passages, queries, id_col, text_col, query_id, query_text, most_postings), k)
+    return top(scored(passages, queries, id_col, text_col, query_id, query_text, most_postings, ceiling), k)
 
 
 def sorted_postings(posts: DataFrame, df: DataFrame) -> DataFrame:

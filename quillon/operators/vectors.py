@@ -1,9 +1,12 @@
-"""Vectors: dot products, sign codes, Hamming, int8, PCA, k-means lists and probing."""
+"""Vectors: dot products, sign codes, Hamming, int8, PCA, k-means lists, probing, and encoders as Arrow UDFs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +41,8 @@ def int8(v: Column) -> tuple[Column, Column]:
 
 
 def int8_query(v: Column) -> Column:
-    return F.transform(v, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), F.round(x.cast("double") * 127))).cast("int"))
+    """A unit query's values times 127, half up, clipped."""
+    return F.transform(v, lambda x: F.greatest(F.lit(-128.0), F.least(F.lit(127.0), F.floor(x.cast("double") * 127 + 0.5).cast("double"))).cast("int"))
 
 
 def int8_cosine(q: Column, p: Column, scale: Column) -> Column:
@@ -57,24 +61,49 @@ def top_k(hits: DataFrame, k: int, score: Column, better_high: bool = True) -> D
     return hits.withColumn("score", score).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long float lists as a matrix of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def tree_sum(parts: DataFrame, fan: int = 16) -> np.ndarray:
+    """The sum of the binary rows of doubles (column ``x``) of ``parts``, added up ``fan`` by ``fan`` in executors."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                v = np.frombuffer(x.as_buffer())
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()])], names=["x"])
+
+    n = parts.rdd.getNumPartitions()
+    while n > fan:
+        n = -(-n // fan)
+        parts = parts.repartition(n).mapInArrow(add, "x binary")
+    rows = parts.collect()  # one row a partition, ``fan`` at most
+    return np.sum([np.frombuffer(r["x"]) for r in rows], axis=0)
+
+
 def pca_fit(vectors: DataFrame, col: str, components: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(mean, components x dim, share of variance kept). Sums and products are added per partition; the driver gets dim * dim numbers."""
+    """(mean, components x dim, share of variance kept), from one scan that adds up sums and products."""
 
-    def partial(batches):
-        n, total, gram = 0, 0.0, 0.0
-        for pdf in batches:
-            x = np.array(pdf[col].tolist(), float)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, gram = 0.0, None, None
+        for batch in batches:
+            x = _matrix(batch.column(0))
             if len(x):
-                n, total, gram = n + len(x), total + x.sum(axis=0), gram + x.T @ x
+                n, total, gram = n + len(x), x.sum(axis=0) + (0 if total is None else total), x.T @ x + (0 if gram is None else gram)
         if n:
-            yield pd.DataFrame({"n": [n], "total": [total.tolist()], "gram": [gram.reshape(-1).tolist()]})
-
-    rows = vectors.select(col).mapInPandas(partial, "n long, total array<double>, gram array<double>")
-    i = rows.select("n", F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("i").collect()
-    g = rows.select(F.posexplode("gram").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    n, total = i[0]["n"], np.array([r["x"] for r in i])
-    mean = total / n
-    cov = np.array([r["x"] for r in g]).reshape(len(mean), -1) / n - np.outer(mean, mean)
+            yield pa.record_batch([pa.array([np.concatenate([[n], total, gram.reshape(-1)]).tobytes()])], names=["x"])
+
+    sums = tree_sum(vectors.where(F.col(col).isNotNull()).select(col).mapInArrow(partial, "x binary"))
+    dim = int((np.sqrt(4 * len(sums) - 3) - 1) / 2 + 0.5)
+    mean = sums[1 : dim + 1] / sums[0]
+    cov = sums[dim + 1 :].reshape(dim, dim) / sums[0] - np.outer(mean, mean)
     values, axes = np.linalg.eigh(cov)
     order = np.argsort(-values)[:components]
     axes = axes[:, order].T
@@ -83,6 +112,8 @@ def pca_fit(vectors: DataFrame, col: str, components: int) -> tuple[np.ndarray,
 
 
 def pca_project(vectors: DataFrame, col: str, mean: np.ndarray, axes: np.ndarray, out: str = "reduced") -> DataFrame:
+    """Centred, projected, of unit length again."""
+
     @F.pandas_udf("array<double>")
     def project(s: pd.Series) -> pd.Series:
         x = (np.array(s.tolist(), float) - mean) @ axes.T
@@ -92,52 +123,149 @@ def pca_project(vectors: DataFrame, col: str, mean: np.ndarray, axes: np.ndarray
     return vectors.withColumn(out, project(col))
 
 
+def stratified_sample(vectors: DataFrame, by: str, id_col: str, most: int) -> DataFrame:
+    """About ``most`` rows, as many of each value of ``by``: those with the least hashes of their ids."""
+    n = vectors.groupBy(by).agg(F.count("*").alias("rows"))  # one row a value
+    each = F.ceil(F.lit(most) / F.count("*").over(Window.partitionBy()))
+    limit = n.select(F.col(by).alias("of"), (each / F.col("rows") * (1 << 40)).alias("limit"))
+    return vectors.join(F.broadcast(limit), F.col(by).eqNullSafe(F.col("of"))).where(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < F.col("limit")).drop("of", "limit")
+
+
 def nlist(n: int) -> int:
     """Lists of an index over ``n`` vectors."""
     return int(min(4096, max(128, round(2 * n**0.5))))
 
 
 def kmeans_lists(vectors: DataFrame, col: str, k: int, seed: int = 7, rounds: int = 20) -> np.ndarray:
-    """Unit centroids by spherical k-means (Lloyd): each round adds up k sums in the executors."""
-    start = np.array([r[0] for r in vectors.orderBy(F.xxhash64("vec_id", F.lit(seed))).select(col).limit(k).collect()], float)
+    """Unit centroids by spherical k-means (Lloyd): a round adds up k sums in executors, one binary row a partition."""
+    first = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").select(col).limit(k).toArrow()  # k rows
+    start = _matrix(first[col])
     centres = start / np.maximum(np.linalg.norm(start, axis=1, keepdims=True), 1e-9)
     for _ in range(rounds):
         now = centres
 
-        def add(batches, now=now):
+        def add(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(now)
-            for pdf in batches:
-                x = np.array(pdf[col].tolist(), float)
+            for batch in batches:
+                x = _matrix(batch.column(0))
                 if len(x):
                     np.add.at(total, (x @ now.T).argmax(axis=1), x)
-            yield pd.DataFrame({"i": np.arange(len(total)), "x": total.tolist()})
-
-        rows = vectors.select(col).mapInPandas(add, "i long, x array<double>").select("i", F.posexplode("x").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-        new = centres.copy()
-        total = np.zeros_like(centres)
-        for r in rows:
-            total[r["i"], r["j"]] = r["x"]
-        full = np.linalg.norm(total, axis=1) > 1e-9
-        new[full] = total[full] / np.linalg.norm(total[full], axis=1, keepdims=True)
+            yield pa.record_batch([pa.array([total.tobytes()])], names=["x"])
+
+        total = tree_sum(vectors.where(F.col(col).isNotNull()).select(col).mapInArrow(add, "x binary")).reshape(centres.shape)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        new = np.where(size > 1e-9, total / np.maximum(size, 1e-9), centres)
         if np.abs(new - centres).max() < 1e-6:
             break
         centres = new
     return centres
 
 
-def probe(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int, cap: int | None = None) -> DataFrame:
-    """IVF search: (query_id, vec_id, dist, score, rank).
+def assign_lists(vectors: DataFrame, col: str, centres: np.ndarray) -> DataFrame:
+    """``vectors`` with ``list_id``: the centroid with the largest dot product (to six places), the earlier on a tie."""
+
+    @F.pandas_udf("int")
+    def nearest(s: pd.Series) -> pd.Series:
+        return pd.Series((np.array(s.tolist(), float) @ centres.T).round(6).argmax(axis=1).astype("int32"))
+
+    return vectors.withColumn("list_id", nearest(col))
+
+
+def write_lists(vectors: DataFrame, path: str) -> None:
+    """The stored layout of an index: a folder a list, so a search reads only the lists it probes."""
+    vectors.repartition("list_id").sortWithinPartitions("list_id", "vec_id").write.partitionBy("list_id").parquet(path)
 
-    ``vectors`` (vec_id, list_id, code), ``queries`` (query_id, embedding, code), ``centroids`` (list_id, centroid). A query
-    joins only its nearest lists; its candidates are ranked by Hamming distance, then list rank, then id; the first 4 k
-    stand for distinct rows of which ``k`` stay.
+
+def nearest_lists(queries: DataFrame, centroids: DataFrame, nprobe: int, prefix: int | None = None) -> DataFrame:
+    """(query_id, list_id, list_rank, and the query's columns): each query's ``nprobe`` nearest lists.
+
+    With ``prefix`` three times as many are chosen first by that many leading dimensions.
     """
-    near = queries.crossJoin(F.broadcast(centroids)).withColumn("sim", F.round(dot(F.col("embedding"), F.col("centroid")), 6))  # 4096 centroids at most
-    lists = near.withColumn("list_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "list_id"))).where(F.col("list_rank") <= nprobe)
+    near = queries.crossJoin(F.broadcast(centroids))  # 4096 centroids at most
+    if prefix:
+        lead = lambda c: F.slice(c, 1, prefix)
+        near = near.withColumn("rough", F.round(dot(lead(F.col("embedding")), lead(F.col("centroid"))), 6))
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "list_id"))).where(F.col("r") <= 3 * nprobe).drop("r", "rough")
+    near = near.withColumn("sim", F.round(dot(F.col("embedding"), F.col("centroid")), 6)).drop("centroid")
+    return near.withColumn("list_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "list_id"))).where(F.col("list_rank") <= nprobe)
+
+
+def probe(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, nprobe: int, k: int, cap: int | None = None, prefix: int | None = None, bits: int = 64) -> DataFrame:
+    """IVF search: (query_id, parent, vec_id, dist, score, rank).
+
+    ``vectors`` (vec_id, parent, list_id, code), ``queries`` (query_id, embedding, code), ``centroids`` (list_id, centroid).
+    A query joins only its nearest lists, ``cap`` candidates of them in list order; they are ranked by Hamming distance,
+    then list rank, then id. Of the first ``4 k`` each parent counts once, and ``k`` of these stay, so fewer may come back.
+    """
+    lists = nearest_lists(queries, centroids, nprobe, prefix)
     found = lists.select("query_id", "list_id", "list_rank", F.col("code").alias("query_code")).join(vectors, "list_id")
     if cap:
         found = found.withColumn("seen", F.row_number().over(Window.partitionBy("query_id").orderBy("list_rank", "vec_id"))).where(F.col("seen") <= cap)
     found = found.withColumn("dist", hamming(F.col("code"), F.col("query_code")))
-    w = Window.partitionBy("query_id").orderBy("dist", "list_rank", "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "vec_id", "dist", (1 - F.col("dist") / 64.0).alias("score"), "rank")
+    order = ["dist", "list_rank", "vec_id"]
+    head = found.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("at") <= 4 * k)
+    one = head.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "parent").orderBy("at"))).where("nth = 1")
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).cast("long")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "parent", "vec_id", "dist", (1 - F.col("dist") / bits).alias("score"), "rank")
+
+
+def flat_search(chunks: DataFrame, queries: DataFrame, k: int, pool: int = 512, bits: int = 64) -> DataFrame:
+    """Exact search of user chunks: (query_id, strategy, parent, dist, score, rank).
+
+    ``chunks`` (vec_id, strategy, parent, code) of the sources that are on. The ``pool`` nearest of all strategies together,
+    of which the first ``6 k`` go to their strategies' lists: each parent once a list, ``k`` at most.
+    """
+    found = chunks.crossJoin(queries.select("query_id", F.col("code").alias("query_code"))).withColumn("dist", hamming(F.col("code"), F.col("query_code")))
+    near = found.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).where(F.col("at") <= min(pool, 6 * k))
+    one = near.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "strategy", "parent").orderBy("at"))).where("nth = 1")
+    ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "strategy").orderBy("at")).cast("long")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "strategy", "parent", "dist", (1 - F.col("dist") / bits).alias("score"), "rank")
+
+
+def rescore(fused: DataFrame, queries: DataFrame, table: DataFrame, first: int = 16) -> DataFrame:
+    """(query_id, id, cosine, place): the first ``first`` fused hits by int8 cosine.
+
+    ``fused`` (query_id, id, place), ``queries`` (query_id, q8), ``table`` (id, p8, scale): one row a passage.
+    """
+    x = fused.where(F.col("place") <= first).select("query_id", "id", F.col("place").alias("before")).join(table, "id").join(queries, "query_id")
+    x = x.withColumn("cosine", F.round(int8_cosine(F.col("q8"), F.col("p8"), F.col("scale")), 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "before")).cast("long")
+    return x.withColumn("place", place).select("query_id", "id", "cosine", "place")
+
+
+def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
+    """An encoder without weights: signed hashes of a text's words, added up. Stands in where no model is at hand."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        from zlib import crc32
+
+        out = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for w in t.lower().split():
+                h = crc32(w.encode())
+                out[i, h % dim] += 1 if h >> 16 & 1 else -1
+        return out
+
+    return encode
+
+
+def embed(rows: DataFrame, text_col: str, encoder: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "passage: ", together: int = 64, out: str = "embedding", by_length: int | None = None) -> DataFrame:
+    """``rows`` with unit vectors of their texts; null counts as empty.
+
+    ``encoder`` is called once a task and gives the function that encodes a list of texts. With ``by_length`` rows are first
+    dealt to that many ranges of text length and sorted, so that texts of a batch are about equally long.
+    """
+    if by_length:
+        rows = rows.repartitionByRange(by_length, F.length(text_col)).sortWithinPartitions(F.length(text_col))
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder()
+        for s in batches:
+            texts = [prefix + (x or "") for x in s]
+            parts = [np.asarray(encode(texts[i : i + together]), float) for i in range(0, len(texts), together)]
+            x = np.concatenate(parts) if parts else np.zeros((0, 1))
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            yield pd.Series(list(x))
+
+    return rows.withColumn(out, run(text_col))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import constants as K
 from quillon.functions import text as T
 from quillon.operators import fusion, gates, lexical, vectors
-from quillon.plans import corpus, sources, texts
+from quillon.plans import corpus, search, sources, texts
 from quillon.session import table
 
 
@@ -147,7 +147,7 @@ def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.input_gate("text").alias("reason"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", gates.input_gate("text").alias("reason"), gates.needs_support("text").alias("support"))
 
 
 def gate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +205,6 @@ ORACLE_SQL = {
     "gate_retrieval": f"{_PAIRS} select query_id, case when best < 0.8 then 'LOW_CONFIDENCE' end as reason from placed where place = 1",
 }
 
-for module in (corpus, texts, sources):
+for module in (corpus, texts, sources, search):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
