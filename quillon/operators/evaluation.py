@@ -57,8 +57,8 @@ def best_policy(swept: DataFrame, least_coverage: float) -> DataFrame:
     return swept.where(F.col("coverage") >= least_coverage).orderBy(F.desc("recall"), "step", "least_agreement").limit(1)
 
 
-def nearest_ranks(rows: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 70, 90, 95, 99, 100), parts: int | None = None) -> DataFrame:
-    """(by, n, mean, p50, ...): the value at rank ceil(p / 100 * n) of each group.
+def nearest_ranks(rows: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 70, 90, 95, 99, 100), parts: int | None = None, floor_index: bool = False) -> DataFrame:
+    """(by, n, mean, p50, ...): the value at rank ceil(p / 100 * n) of each group, or at index floor(p / 100 * (n - 1)).
 
     Rows are dealt by ranges of (by, value), so a large group is many ranges; only the ranges that hold a wanted rank are
     numbered. Counts per range are one row a range and group.
@@ -70,7 +70,7 @@ def nearest_ranks(rows: DataFrame, by: str, value: str, percents: tuple[int, ...
     whole = Window.partitionBy("by")
     before = F.coalesce(F.sum("m").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("by", "part", "m", before.alias("before"), F.sum("m").over(whole).alias("n"), (F.sum("total").over(whole) / F.sum("m").over(whole)).alias("mean"))
-    ranks = counts.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("r", F.greatest(F.ceil(F.col("n") * F.col("p") / 100), F.lit(1)))
+    ranks = counts.withColumn("p", F.explode(F.array(*[F.lit(p) for p in percents]))).withColumn("r", F.floor((F.col("n") - 1) * F.col("p") / 100) + 1 if floor_index else F.greatest(F.ceil(F.col("n") * F.col("p") / 100), F.lit(1)))
     ranks = ranks.where((F.col("r") > F.col("before")) & (F.col("r") <= F.col("before") + F.col("m")))
     wanted = ranks.groupBy("by", "part", "before", "n", "mean").agg(F.collect_list(F.struct("p", "r")).alias("wanted"))
     here = ranged.join(F.broadcast(wanted), ["by", "part"])  # as many rows as percentiles and groups
@@ -80,11 +80,6 @@ def nearest_ranks(rows: DataFrame, by: str, value: str, percents: tuple[int, ...
     return found.groupBy("by").agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), *pick).withColumnRenamed("by", by)
 
 
-def floor_quantile(values: Column, p: float) -> Column:
-    """The value at index floor(p * (n - 1)) of a sorted array."""
-    return F.get(values, F.floor((F.size(values) - 1) * F.lit(p)).cast("int"))
-
-
 def stratified(rows: DataFrame, by: str, id_col: str, target: int) -> DataFrame:
     """(by, n, take): each stratum's proportional share of ``target``, half to even, never more than it has."""
     n = rows.groupBy(by).agg(F.count("*").alias("n"))

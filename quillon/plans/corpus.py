@@ -60,10 +60,11 @@ def gate_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lang_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents, labels, mean quality and toxic share by language."""
+    """Documents, labels, mean quality and toxic share by language and of all together."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"))
     x = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return x.groupBy("lang").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
+    out = x.rollup("lang").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
+    return out.withColumn("lang", F.coalesce("lang", F.lit("ALL")))
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ ORACLE_SQL = {
         b as (select o_orderkey, t::double - {planner.RESERVE} - {planner.TAIL}::double - {planner.LEXICAL}::double - c::double / 1000 * {planner.USER}::double as budget from o)
         select o_orderkey, p.lists, p.hits, p.rescored, p.candidates, p.degraded from (select o_orderkey, {_plan_sql()} as p from b)""",
     "gate_citations": "select conv_id, turn, case when turn < 1 or turn + 1 > count(*) over (partition by conv_id) then 'FABRICATED_CITATION' end as reason from conversations",
-    "lang_report": "select coalesce(lang, 'und') as lang, count(*) as documents, count(quality) as labelled, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from documents left join labels using (doc_id) group by all",
+    "lang_report": "select coalesce(lang, 'ALL') as lang, count(*) as documents, count(quality) as labelled, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic from (select coalesce(lang, 'und') as lang, quality, toxic from documents left join labels using (doc_id)) group by rollup (lang)",
     "threshold_sweep": """select threshold, count(*) filter (n_chars >= threshold and quality = 1) as tp, count(*) filter (n_chars >= threshold and quality = 0) as fp, count(*) filter (n_chars < threshold and quality = 1) as fn,
         count(*) filter (n_chars < threshold and quality = 0) as tn from labels join documents using (doc_id), (select unnest([50, 100, 200, 400, 800, 1600, 3200, 6400]::bigint[]) as threshold) where n_chars is not null and quality is not null group by all""",
 }
