@@ -27,8 +27,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, toleran
 def torn_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One row: lines, lines that can't be read."""
     full = StructType([*schema.fields, StructField("_torn", StringType())])
-    rows = spark.read.schema(full).option("columnNameOfCorruptRecord", "_torn").json(path).select(*full.fieldNames())
-    return rows.agg(F.count("*").alias("lines"), F.count("_torn").alias("torn"))
+    read = F.from_json("value", full, {"columnNameOfCorruptRecord": "_torn"})
+    return spark.read.text(path).select(read["_torn"].alias("torn")).agg(F.count("*").alias("lines"), F.count("torn").alias("torn"))
 
 
 def write_missing(df: DataFrame, path: str, by: str) -> list:
