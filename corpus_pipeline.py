@@ -1,6 +1,11 @@
 """The training-data pipeline: language ID, exact dedup, near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as Parquet before the next.
+The mix is written in its order, a range of it a file; packing takes its rows as it reads them.
+
+Defined results: null and empty texts go in the first stage, as no language is known for them; of texts equal but for A-Z the
+row with the largest doc_id stays; of near-duplicates that with the smallest; texts of any length are read whole; an empty
+table gives an empty result; columns beyond those of ``documents`` are kept, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations

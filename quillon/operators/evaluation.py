@@ -77,7 +77,7 @@ def nearest_ranks(rows: DataFrame, by: str, value: str, percents: tuple[int, ...
     at = F.row_number().over(Window.partitionBy("by", "part").orderBy("value")) + F.col("before")
     found = here.withColumn("at", at).withColumn("w", F.explode("wanted")).where(F.col("w.r") == F.col("at"))
     pick = [F.max(F.when(F.col("w.p") == p, F.col("value"))).alias(f"p{p}") for p in percents]
-    return found.groupBy("by").agg(F.max("n").alias("n"), F.round(F.max("mean"), 6).alias("mean"), *pick).withColumnRenamed("by", by)
+    return found.groupBy("by").agg(F.max("n").alias("n"), F.round(F.max("mean"), 9).alias("mean"), *pick).withColumnRenamed("by", by)
 
 
 def stratified(rows: DataFrame, by: str, id_col: str, target: int) -> DataFrame:

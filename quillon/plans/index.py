@@ -266,7 +266,7 @@ ORACLE_SQL = {
         m as (select coalesce(strategy, 'TOTAL') as strategy, count(*) as chunks, round(sum(length(chunk)) / count(*), 6) as mean_chars from c group by rollup (strategy))
         select *, round(chunks / (select count(*) from documents), 6) as a_passage, round(chunks / max(chunks) filter (strategy = 'TOTAL') over (), 6) as share, chunks * 48 as bytes_48, chunks * 384 as bytes_384, chunks * 1536 as bytes_1536 from m""",
     "quantile_floor": "with v as (select event_type, list_sort(list(value)) as v from events where value is not null group by all) select event_type, " + ", ".join(f"v[((len(v) - 1) * {p} // 100 + 1)::int] as q{p}" for p in (10, 50, 90)) + " from v",
-    "session_percentiles": "select user_id, count(*) as n, round(avg(value), 6) as mean, " + ", ".join(f"quantile_disc(value, {p / 100}) as p{p}" for p in (50, 70, 100)) + " from events where value is not null group by all",
+    "session_percentiles": "select user_id, count(*) as n, round(avg(value), 9) as mean, " + ", ".join(f"quantile_disc(value, {p / 100}) as p{p}" for p in (50, 70, 100)) + " from events where value is not null group by all",
     "refusal_pivot": _refusals(),
     "transcript_validate": f"""with t as (select *, row_number() over (partition by conv_id order by turn) as i from conversations) select conv_id, coalesce(string_agg({_ROLE} || ':' || turn || ':' || md5(substring({_T}, 1, 8000)), ',' order by i) filter (i <= 6 and turn <> 1 and {_ROLE} is not null), '') as turns from t group by all""",
     "breaker_islands": """with recursive e as (select user_id, event_id, epoch_us(ts) // 1000 as ms, event_type = 'error' as failed, row_number() over (partition by user_id order by event_id) as i from events),

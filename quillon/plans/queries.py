@@ -194,7 +194,7 @@ ORACLE_SQL = {
     + ", round(avg(coalesce(1.0 / first, 0.0)), 6) as mrr from q",
     "auc_ranksum": """with x as (select n_chars, quality from labels join documents using (doc_id)), r as (select quality, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0 as r from x),
         s as (select count(*) filter (quality = 1) as p, count(*) filter (quality = 0) as n, sum(r) filter (quality = 1) as w from r) select p as positives, n as negatives, coalesce(round((w - p * (p + 1) / 2.0) / nullif(p * n, 0), 6), 0.5) as auc from s""",
-    "latency_percentiles": "select event_type, count(*) as n, round(avg(value), 6) as mean, " + ", ".join(f"quantile_disc(value, {p / 100}) as p{p}" for p in (50, 70, 90, 95, 99, 100)) + " from events where value is not null group by all",
+    "latency_percentiles": "select event_type, count(*) as n, round(avg(value), 9) as mean, " + ", ".join(f"quantile_disc(value, {p / 100}) as p{p}" for p in (50, 70, 90, 95, 99, 100)) + " from events where value is not null group by all",
     "dedupe_corpus": f"select text_md5, min(doc_id) as doc_id, count(*) as copies from (select doc_id, md5(trim(regexp_replace(nfc_normalize({_DOCS}), '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x{{85}}]+', ' ', 'g'))) as text_md5 from documents) group by all",
     "lexical_overlap": f"""with c as (select *, lag(text) over (partition by conv_id order by turn) as before from conversations),
         t as (select conv_id, turn, list_distinct({_content_sql('text')}) as a, list_distinct({_content_sql('before')}) as b from c where before is not null and text is not null)
