@@ -14,8 +14,9 @@ words seen once. Transitions come from the classes of all words. Only class bigr
 the driver; the rest of a document's words meet their classes and counts in a join.
 
 Defined results: null text counts as empty, one end token; null doc_ids hash as the empty text; repeated rows are separate
-documents; with no training document every token is unknown; an empty table gives an empty result; extra columns never
-matter.
+documents; words equally frequent are taken in the order of their hashes, and of classes as good the first; a text of any
+length is one sequence; with no training document every token is unknown; an empty table gives an empty result; extra columns
+never matter.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Connected components of an edge table: local union-find first, then alternating large and small stars."""
+"""Connected components of an edge table: local union-find first, then alternating large and small stars.
+
+Defined results: repeated edges, and edges both ways, count once; an edge of a node to itself says nothing; an empty table
+gives an empty result; edges with a null are the caller's to leave out.
+"""
 
 from __future__ import annotations
 

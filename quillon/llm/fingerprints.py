@@ -11,7 +11,8 @@ Order over all documents is by ranges of doc_id: a range's first text is also se
 meet without a global window and the text is shuffled once.
 
 Defined results: null text counts as empty; empty text has no features and an empty fingerprint, which is like an equal
-one only; text shorter than a window is one feature; null doc_ids come last, by text; repeated rows follow each other, by
+one only; text shorter than a window is one feature; of windows as rare the leftmost gets the vote; a text is read in blocks
+of 256 KiB, and windows across their edges are no features, the same for equal texts; null doc_ids come last, by text; repeated rows follow each other, by
 text; an empty table gives an empty result; extra columns never matter.
 """
 

@@ -3,15 +3,18 @@
 Documents go to tiers of context size: full windows of the longest are cut off first, what is left goes to the smallest
 tier that holds it. Each tier opens windows of its own size, longest documents first; the gap of a window is filled with
 the longest documents of shorter tiers that fit, and at last by cutting one, so windows are full. What a partition ends
-with is split into powers of two, which need no padding. Sequences are then dealt into step groups of equal tokens. All
+with is split into powers of two, which need no padding. Sequences packed together are dealt into step groups that are
+balanced in tokens and hold all lengths. All
 of it happens in the partition in which the text is read, over a bounded number of tokens at a time: nothing is shuffled.
 
-Defined results: null text is empty and still gets its end id; repeated rows are separate documents; an empty table gives
-an empty result; columns beyond those read never matter.
+Defined results: null text is empty and still gets its end id; repeated rows are separate documents; of equally long
+documents that read first goes first; a text of any length is cut into full windows; an empty table gives an empty result;
+columns beyond those read never matter.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -104,25 +107,26 @@ def pack(docs: DataFrame, tokenizer: str, end: int, longest: int = LONGEST, tier
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part = Bpe.of(tokenizer), TaskContext.get().partitionId() << 36
-        number = steps = in_step = 0
+        number = steps = 0
         # documents not yet wholly packed: (doc_id, ids from ``base`` on, base, tokens of the whole document)
         held: list[tuple[int | None, np.ndarray, int, int]] = []
         tokens = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, tokens, number, steps, in_step
+            nonlocal held, tokens, number, steps
             rows, left = sequences([len(h[1]) for h in held], longest, tiers, last)
-            rows.sort(key=lambda r: -sum(p[2] for p in r))  # powers of two, longest first, fill steps exactly
+            rows.sort(key=lambda r: -sum(p[2] for p in r))
+            # longest first, each to the group with fewest tokens: groups differ by one sequence at most
+            loads = [(0, g) for g in range(max(1, round(sum(p[2] for r in rows for p in r) / step)))]
             out: list[list] = [[] for _ in fields]
             for row in rows:
                 size, offset = sum(p[2] for p in row), 0
-                if in_step + size > step:
-                    steps, in_step = steps + 1, 0
-                in_step += size
+                load, group = heapq.heappop(loads)
+                heapq.heappush(loads, (load + size, group))
                 for doc, start, n in row:
                     doc_id, ids, base, total = held[doc]
                     cut = ids[start : start + n]
-                    values = (doc_id, base + start, n, zlib.crc32(cut), total, part | number, offset, size, part | steps, *([cut] if with_ids else []))
+                    values = (doc_id, base + start, n, zlib.crc32(cut), total, part | number, offset, size, part | (steps + group), *([cut] if with_ids else []))
                     for column, v in zip(out, values, strict=True):
                         column.append(v)
                     offset += n
@@ -132,6 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, longest: int = LONGEST, tier
                     out = [[] for _ in fields]
             if out[0]:
                 yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], schema=schema)
+            steps += len(loads)
             held = [(held[d][0], held[d][1][s : s + n].copy(), held[d][2] + s, held[d][3]) for d, s, n in left]
             tokens = sum(len(h[1]) for h in held)
 

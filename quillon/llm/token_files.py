@@ -6,7 +6,8 @@ uint64 words. Selector 0 is an escape: the next word is one raw 64-bit id. Block
 file are decoded at once with vector operations, or one alone for random access.
 
 Defined results: null text is empty and still gets its end id; null doc_ids come last; repeated rows are separate
-documents, ordered by text; an empty table gives no file and an empty result; extra columns never matter.
+documents, ordered by text; a text of any length is one document in one file; an empty table gives no file and an empty
+result; extra columns never matter.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None,
             return row
 
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", min(4 << 20, file_ids)):
                 ids, first = bpe.encode(piece.column(1), end)
                 held[0].extend(piece.column(0).to_pylist())
                 held[1].append(np.diff(first))

@@ -183,6 +183,25 @@ def test_packing(spark, folder, docs):
     assert padded <= 0.05 * full.sum() + 2048
 
 
+def test_packing_carries_over_and_balances(spark, docs):
+    """Many flushes a partition, and step groups that differ by one sequence at most."""
+    from quillon.llm.packing import pack
+
+    rows = [(int(k), t[:4000]) for k, t in text_of(docs).items()]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    file = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(file)
+    whole = {k: [*plain.encode(t, add_special_tokens=False).ids, 1] for k, t in rows}
+    for together, step in ((3000, 2048), (1 << 20, 8 * 2048)):
+        got = pack(d, file, 1, together=together, step=step, with_ids=True).toPandas()
+        for k, g in got.sort_values("start").groupby("doc_id"):
+            assert np.concatenate(g.ids.tolist()).tolist() == whole[k]
+        assert got.groupby("sequence_id").length.sum().map(lambda n: n <= 2048 and (n == 2048 or n & (n - 1) == 0)).all()
+    load = got.groupby("step_id").length.sum()
+    for _, x in load.groupby(load.index.to_numpy() // (1 << 36)):
+        assert x.max() - x.min() <= 2048
+
+
 def test_secret_scan(spark, folder, docs):
     got = rows(spark, folder, "op4_secret_scan")
     kinds = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda m: len(m[2]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
@@ -206,6 +225,37 @@ def test_token_files(spark, folder, docs):
         start += len(ids[k])
 
 
+def test_token_files_of_many_files_and_wide_ids(spark, docs, tmp_path):
+    from quillon.llm.token_files import from_bytes, read_tokens, to_bytes, write_tokens
+
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.integers(0, 1 << w, 200, dtype=np.uint64, endpoint=False) for w in (1, 5, 17, 33, 61, 63)] + [np.array([(1 << 64) - 1, 0, 1 << 60], np.uint64)])
+    known, lengths, back = from_bytes(to_bytes([5, None, -7], np.array([len(ids) - 3, 3, 0]), ids))
+    assert known == [5, None, -7] and lengths.tolist() == [len(ids) - 3, 3, 0] and (back == ids).all()
+    rows = [(int(k), t[:3000]) for k, t in text_of(docs).items()]
+    file, folder = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}"
+    manifest = write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), folder, file, 2, file_ids=2000)
+    assert manifest.count() > 20
+    got = read_tokens(manifest, folder, with_ids=True).toPandas().sort_values("doc_id")
+    plain = Tokenizer.from_file(file)
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for _, t in sorted(rows)]
+    assert [list(x) for x in got.ids] == want and got.start.tolist() == np.append(0, np.cumsum([len(x) for x in want])[:-1]).tolist()
+
+
+def test_class_lm_of_few_counted_words(spark, docs):
+    """Words past the counted ones meet their classes in a join; known words and base scores stay the same."""
+    from quillon.llm import class_lm as C
+
+    d = spark.createDataFrame([(int(k), t, True) for k, t in text_of(docs).items() if len(t) < 3000], "doc_id long, text string, train boolean")
+    out = []
+    for counted in (60, 100_000):
+        model = C.fit(d.select("text"), C.count_words(d.select("text")), head=50, classes=6, counted=counted)
+        seen = C.classed(d, model)
+        out.append(C.score(seen, model, C.steps(seen, model)).toPandas().sort_values("doc_id", ignore_index=True))
+    few, all_ = out
+    assert (few.n_known == all_.n_known).all() and np.allclose(few.base_score, all_.base_score) and np.isfinite(few.score).all()
+
+
 def test_class_lm(spark, folder, docs):
     got = rows(spark, folder, "op6_class_lm")
     tokens = {k: [*WORD.findall(t.translate(LOWER)), None] for k, t in text_of(docs).items()}
@@ -281,6 +331,63 @@ def test_fingerprints_of_short_texts(docs):
     assert all(likeness(chains[i], chains[i]) == 1 and likeness(chains[i], chains[i + 133]) < 0.5 for i in some)
 
 
+def test_fingerprints_against_plain_votes(docs):
+    """Levels, votes and features of windows counted one by one."""
+    import pyarrow as pa
+
+    from quillon.llm import fingerprints as P
+
+    rarity = np.random.default_rng(4).permutation(P.LEVELS)
+    texts = [t for t in text_of(docs).values() if 200 < len(t) < 900][:12]
+    found = P.features(pa.array(texts), rarity)
+    for text, got in zip(texts, found, strict=True):
+        b = text.encode()
+        level = [(P._TOP - sum(int(P._F[n]) for n in Counter(b[i : i + P.WIDTH]).values())) * (P.LEVELS - 1) // P._TOP for i in range(len(b) - P.WIDTH + 1)]
+        assert P.levels(np.frombuffer(b, np.uint8)).tolist() == level
+        votes = Counter(min(range(i, i + P.NEAR), key=lambda k: (rarity[level[k]], k)) for i in range(len(level) - P.NEAR + 1))
+        picked = sorted(k for k, n in votes.items() if n >= P.VOTES) or sorted(k for k, n in votes.items() if n == max(votes.values()))
+        data = np.frombuffer(b, np.uint8)
+        assert got.tolist() == P.run_hashes(data, np.array(picked), np.array(picked) + P.WIDTH).tolist()
+
+
+def test_exact_dedup_spills_by_subtree():
+    from quillon.llm.exact_dedup import owners
+
+    rng = random.Random(8)
+    for smallest in (True, False):
+        rows = [(bytes(rng.choices(b"ab", k=rng.randrange(0, 9))) * rng.choice((1, 40)), (rng.choice((None, *range(50))), n), 1, [n]) for n in range(400)]
+        want = {}
+        for key, owner, n, refs in rows:
+            want.setdefault(key, []).append((owner, refs[0]))
+        got = {tuple(sorted(refs)): (owner, n) for refs, owner, n in owners(iter(rows), smallest, 600)}
+        assert set(got) == {tuple(sorted(r for _, r in v)) for v in want.values()}
+        for v in want.values():
+            ids = [o[0] for o, _ in v if o[0] is not None]
+            owner, n = got[tuple(sorted(r for _, r in v))]
+            assert n == len(v) and owner[0] == ((min if smallest else max)(ids) if ids else None)
+
+
+def test_components_by_stars(spark, monkeypatch):
+    from quillon.llm import components as C
+
+    monkeypatch.setattr(C, "LOCAL", 10)
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(edges, "u long, v long").repartition(6)).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    assert got == {x: root(x) for x in parent if root(x) != x}
+
+
 def test_exact_dedup(spark, folder, docs):
     got = rows(spark, folder, "op8_exact_dedup")
     low = {k: t.translate(LOWER) for k, t in text_of(docs).items()}
@@ -303,6 +410,30 @@ def test_language_id(spark, folder, docs):
     assert np.mean(right) > 0.85
 
 
+def test_language_logits_against_plain_ngrams():
+    """Every 2- to 4-gram of folded bytes that holds no two blanks in a row, one by one; a text of several blocks too."""
+    import pyarrow as pa
+
+    from quillon.llm import language_id as L
+
+    rng = np.random.default_rng(1)
+    model = L.LanguageModel(["a", "b"], rng.normal(size=(L.BUCKETS, 2)), np.array([0.1, -0.1]))
+    texts = ["Hello,  World é 12", "", "ab", "ß x", None]
+    got = L.logits(pa.array(texts), model)
+    fold = lambda c: c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32
+    for text, row in zip(texts, got, strict=True):
+        b, rows = [fold(c) for c in (text or "").encode()], []
+        for n in L.GRAMS:
+            for i in range(len(b) - n + 1):
+                g = b[i : i + n]
+                if all(not (x == y == 32) for x, y in zip(g, g[1:], strict=False)):
+                    h = int(L._BYTE[g[0]])
+                    for c in g[1:]:
+                        h = (h * 0x9E3779B97F4A7C15 + int(L._BYTE[c])) & 0xFFFFFFFFFFFFFFFF
+                    rows.append(model.table[int(L.mix(np.array([(h + n) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0]) & (L.BUCKETS - 1)])
+        assert np.allclose(row, (np.mean(rows, axis=0) if rows else 0) + model.bias)
+
+
 def test_substring_dedup(spark, folder, docs):
     got = rows(spark, folder, "op10_substring_dedup")
     words = {k: WORD.findall(t) for k, t in text_of(docs).items()}
@@ -362,6 +493,34 @@ def test_tokens_where_hashes_collide(docs):
         assert all(ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids for t, a, b in zip(texts, first[:-1], first[1:], strict=True))
 
 
+def test_substring_dedup_of_small_shards(spark):
+    """Many segments at few anchors, with shards and packs so small that every path is taken; repeated and null doc_ids."""
+    from quillon.llm.substring_dedup import strip_repeats
+
+    rng = random.Random(9)
+    passages = [[rng.choice("abcdefgh") for _ in range(40)] for _ in range(6)]
+    fill = lambda: [rng.choice("ijklmnop") for _ in range(rng.randrange(0, 4))]
+    texts = [" ".join(w for _ in range(3) for w in (*fill(), *rng.choice(passages)[rng.randrange(10) :], *fill())) for _ in range(120)]
+    rows = [(None if i % 17 == 5 else i // 2 * 2 if i % 13 == 1 else i, t) for i, t in enumerate(texts)] + [(200, texts[3]), (200, texts[3]), (201, ""), (202, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for k, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = (t or "").split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), k)
+    want = []
+    for k, t in rows:
+        w, gone = (t or "").split(), set()
+        for i in range(len(w) - 12):
+            if k is not None and first[tuple(w[i : i + 13])] < k:
+                gone.update(range(i, i + 13))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        want.append((k is None, k or 0, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    for shard_words, together in ((60, 50), (120_000, 1_500_000)):
+        got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in strip_repeats(d, shard_words=shard_words, together=together).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_secret_scan_of_many_matches(spark):
     """Spans past one part of the fold, and runs beside them."""
     from quillon.llm.secrets import PART, scan
