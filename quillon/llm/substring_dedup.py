@@ -4,17 +4,22 @@ A word of a document goes if a window of WINDOW words that covers it also starts
 
 To send every shard past every document would cost the square of the corpus, so shards are met only where they can match:
 the least hash of the 7-word runs in a window, its anchor, is the same wherever the window occurs. Anchors that occur in
-one document only are dropped. What is left are short segments of word ids around shared anchors; they are dealt by
-anchor, each shard builds suffix automata of bounded size over its distinct segments, in ascending doc_id, and streams all
-its segments through them; the matching statistics give the smallest document of every window. A segment that very many
-documents share is one segment in its shard; the documents find its result by a join that skew handling can split. A
-segment alone at its anchor has nothing else to match, so its smallest document is the answer without an automaton. An
-anchor with more distinct segments than an automaton may hold gets several automata, and every one of its segments is
-streamed through each.
+one document only are dropped. What is left are short segments of text around shared anchors. Segments that are equal (128
+bits) are one, and its words are cut once, from the text of its first document, and only where its anchor has others beside
+it. They are dealt by anchor, each shard builds suffix automata of bounded size over its segments, in ascending doc_id, and
+streams all its segments through them; the matching statistics give the smallest document of every window. The documents
+find a segment's result by a join that skew handling can split. A segment alone at its anchor has nothing else to match, so
+its smallest document is the answer without an automaton. An anchor with more segments than an automaton may hold gets
+several automata, and every one of its segments is streamed through each.
+
+Anchors go to their shards packed, a row for each bucket of a task's anchors; an anchor that several documents of one task
+have is known to be shared, so it is sent once for the task and not for each document. Automata compare the words' bytes;
+anchors, segments and rows go by hashes of 64 or 128 bits.
 
 Defined results: null or empty text has no words; rows with null doc_id are neither earlier nor later than others, so they
-keep all words and remove none; rows that repeat a doc_id remove nothing from each other; an empty table gives an empty
-result; extra columns never matter.
+keep all words and remove none; rows that repeat a doc_id remove nothing from each other, and each is judged by its own
+text; texts of any length are read whole, a piece at a time; an empty table gives an empty result; extra columns never
+matter.
 """
 
 from __future__ import annotations
@@ -26,36 +31,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import doc_columns, drop, partitions, release, written
+from quillon.llm.shared import doc_columns, drop, partitions, release, text_key, written
 from quillon.llm.textkit import mix, pieces, shingle_hashes, word_hashes
 from quillon.session import table
 
 WINDOW = 13
 ANCHOR = 7
-#: Windows of one segment, words of one automaton, segments a task remembers as sent.
+#: Windows of one segment, words of one automaton.
 SEGMENT = 32
 SHARD_WORDS = 120_000
-REMEMBERED = 300_000
+#: Pairs of an anchor and a row that a task packs together.
+TOGETHER = 300_000
 
 
 class SuffixAutomaton:
     """Of many sequences, added in ascending order of owner: each state keeps the first, so smallest, owner."""
 
     def __init__(self):
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict] = [{}]
         self.link, self.length, self.owner = [-1], [0], [0]
 
-    def _state(self, length: int, nxt: dict[int, int], link: int, owner: int) -> int:
+    def _state(self, length: int, nxt: dict, link: int, owner: int) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
         self.owner.append(owner)
         return len(self.length) - 1
 
-    def _clone(self, p: int, c: int, q: int) -> int:
+    def _clone(self, p: int, c, q: int) -> int:
         copy = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q], self.owner[q])
         while p >= 0 and self.next[p].get(c) == q:
             self.next[p][c] = copy
@@ -63,7 +69,7 @@ class SuffixAutomaton:
         self.link[q] = copy
         return copy
 
-    def add(self, sequence: list[int], owner: int) -> None:
+    def add(self, sequence: list, owner: int) -> None:
         last = 0
         for c in sequence:
             q = self.next[last].get(c)
@@ -78,7 +84,7 @@ class SuffixAutomaton:
                 q = self.next[p][c]
                 self.link[last] = q if self.length[q] == self.length[p] + 1 else self._clone(p, c, q)
 
-    def owners(self, sequence: list[int], window: int, none: int) -> list[int]:
+    def owners(self, sequence: list, window: int, none: int) -> list[int]:
         """The smallest owner of each window of ``sequence``, ``none`` where the automaton has no such window."""
         at = matched = 0
         out = []
@@ -111,31 +117,99 @@ def _anchors(words: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple
         least = np.minimum(least[: len(grams) - span + 1], least[span - have :][: len(grams) - span + 1])
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     ok = np.flatnonzero(doc[:n] == doc[window - 1 :])
-    return least[ok], doc[ok], ok
+    return mix(least[ok]), doc[ok], ok  # least hashes are small ones; mixed, they are spread evenly
 
 
-def _scan(window: int, k: int):
+_PACKED = pa.schema([("bucket", pa.int32()), ("anchors", pa.binary()), ("rows", pa.binary()), ("known", pa.binary())])
+
+
+def _scan(window: int, k: int, buckets: int, together: int):
+    """(text, row) to packed (anchor, row) pairs, dealt by anchor.
+
+    ``known`` is 0 for an anchor that one row here has, 1 for one that more have; the pairs of the latter follow, marked 2,
+    in any bucket, as they need no one else to be shared.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = turn = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, turn
+            anchor, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+            anchor, row = _distinct(anchor, row)
+            first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            many = np.diff(np.append(first, len(anchor))) > 1
+            of_many = np.repeat(many, np.diff(np.append(first, len(anchor))))
+            one, of_one = anchor[first], row[first]
+            cuts = np.searchsorted(one, (np.arange(buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)))
+            parts = [(b, one[x:y], of_one[x:y], many[x:y].astype(np.uint8)) for b, (x, y) in enumerate(zip(cuts, np.append(cuts[1:], len(first)), strict=True)) if x < y]
+            anchor, row = anchor[of_many], row[of_many]
+            step = max(1000, -(-len(anchor) // buckets))
+            for x in range(0, len(anchor), step):
+                turn += 1
+                part = anchor[x : x + step]
+                parts.append((turn % buckets, part, row[x : x + step], np.full(len(part), 2, np.uint8)))
+            for x in range(0, len(parts), 64):
+                some = parts[x : x + 64]
+                yield pa.record_batch([pa.array([p[0] for p in some], pa.int32()), *(pa.array([p[k].tobytes() for p in some], pa.binary()) for k in (1, 2, 3))], schema=_PACKED)
+
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                texts = [(t.as_buffer().to_pybytes().split() if t.is_valid else []) for t in piece.column(1)]
-                words, first = word_hashes(piece.column(1))
+            for piece in pieces(batch, "text", 1 << 20):
+                words, first = word_hashes(piece.column(0))
                 anchor, doc, _ = _anchors(words, first, window, k)
-                order = np.lexsort((anchor, doc))
-                anchor, doc = anchor[order], doc[order]
-                new = np.ones(len(doc), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                anchor, doc = anchor[new], doc[new]
-                cuts = np.searchsorted(doc, np.arange(len(texts) + 1), "left")
-                yield pa.record_batch(
-                    [piece.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(b" ".join(t)).hexdigest() for t in texts]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(anchor.view(np.int64)))],
-                    names=["doc_id", "n_words", "sha256", "anchors"],
-                )
+                if len(anchor):
+                    change = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
+                    held.append((anchor[change], piece.column(1).to_numpy()[doc[change]]))
+                    size += len(held[-1][0])
+                if size >= together:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
 
-_SEGMENTS = pa.schema([("kind", pa.int32()), ("anchor", pa.int64()), ("seg_a", pa.int64()), ("seg_b", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
+def _distinct(anchor: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((row, anchor))
+    anchor, row = anchor[order], row[order]
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))[: len(anchor)]
+    return anchor[new], row[new]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed pairs in the order of their buckets to (row, anchor) of the anchors that more than one row has."""
+
+    def pairs(row: np.ndarray, anchor: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for x in range(0, len(row), 50_000):
+            yield pa.record_batch([pa.array(row[x : x + 50_000]), pa.array(anchor[x : x + 50_000].view(np.int64))], names=["row", "anchor"])
+
+    def close(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        anchor, row, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        sure = np.unique(anchor[known == 1])
+        lone = known == 0
+        asked, asking = _distinct(anchor[lone], row[lone])
+        first = np.append(True, asked[1:] != asked[:-1])[: len(asked)]
+        number = np.cumsum(first) - 1
+        met = np.bincount(number, minlength=1)[number] > 1 if len(asked) else np.zeros(0, bool)
+        good = met | np.isin(asked, sure)
+        yield from pairs(asking[good], asked[good])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, *body in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in (1, 2, 3)), strict=True):
+            anchor, row, known = (np.frombuffer(x.as_buffer(), t) for x, t in zip(body, (np.uint64, np.int64, np.uint8), strict=True))
+            if len(known) and known[0] == 2:
+                yield from pairs(row, anchor)
+                continue
+            if bucket != now and held:
+                yield from close(held)
+                held = []
+            now = bucket
+            held.append((anchor, row, known))
+    if held:
+        yield from close(held)
 
 
 def _segment_ids(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,16 +224,18 @@ def _segment_ids(words: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tupl
     return mix(a).view(np.int64), mix(b).view(np.int64)
 
 
+_USES = pa.schema([("anchor", pa.int64()), ("seg_a", pa.int64()), ("seg_b", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
+
+
 def _segments(window: int, k: int):
-    """(doc_id, text, its shared anchors) to segments: every occurrence (kind 0) and, once a task, its words (kind 1)."""
+    """(doc_id, text, row, its shared anchors) to the segments around them: every occurrence, without its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[tuple[int, int], int] = {}
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", 2 << 20):
                 words, first = word_hashes(piece.column(1))
-                ids = np.asarray(piece.column(0))
-                shared = piece.column(2)
+                ids, rows = np.asarray(piece.column(0)), np.asarray(piece.column(2))
+                shared = piece.column(3)
                 anchor, doc, at = _anchors(words, first, window, k)
                 # the (document, anchor) pairs that are shared, by one sorted search
                 flat = np.asarray(shared.flatten()).view(np.uint64)
@@ -175,45 +251,48 @@ def _segments(window: int, k: int):
                 within = np.arange(len(at)) - np.repeat(run_at, np.diff(np.append(run_at, len(at))))
                 run_at = np.flatnonzero(within % SEGMENT == 0)
                 size = np.diff(np.append(run_at, len(at))) + window - 1
-                begin, doc_id = at[run_at], ids[doc[run_at]]
+                begin, of = at[run_at], doc[run_at]
                 seg_a, seg_b = _segment_ids(words, begin, size)
-                none = [pa.nulls(len(begin), f.type) for f in _SEGMENTS]
-                used = [pa.array(np.zeros(len(begin), np.int32)), none[1], pa.array(seg_a), pa.array(seg_b), pa.array(doc_id), pa.array(begin - first[doc[run_at]]), none[6]]
-                yield pa.record_batch(used, schema=_SEGMENTS)
-                order = np.lexsort((doc_id, seg_b, seg_a))
-                new = np.ones(len(order), bool)
-                new[1:] = (seg_a[order][1:] != seg_a[order][:-1]) | (seg_b[order][1:] != seg_b[order][:-1])
-                least = order[new]  # of each segment, its smallest document here
-                if len(sent) > REMEMBERED:
-                    sent.clear()
-                fresh = []
-                for i, d, *seg in zip(least.tolist(), doc_id[least].tolist(), seg_a[least].tolist(), seg_b[least].tolist(), strict=True):
-                    if sent.get(tuple(seg), d + 1) > d:
-                        sent[tuple(seg)] = d
-                        fresh.append(i)
-                if fresh:
-                    n = size[fresh]
-                    upto = np.cumsum(n)
-                    cut = words[np.repeat(begin[fresh] - (upto - n), n) + np.arange(upto[-1])].astype("<u8")
-                    body = pa.Array.from_buffers(pa.binary(), len(fresh), [None, pa.py_buffer(np.append(0, upto * 8).astype(np.int32)), pa.py_buffer(cut)])
-                    sent_now = [pa.array(np.ones(len(fresh), np.int32)), pa.array(anchor[run_at][fresh].view(np.int64)), pa.array(seg_a[fresh]), pa.array(seg_b[fresh]), pa.array(doc_id[fresh]), pa.nulls(len(fresh), pa.int64()), body]
-                    yield pa.record_batch(sent_now, schema=_SEGMENTS)
+                values = (anchor[run_at].view(np.int64), seg_a, seg_b, rows[of], ids[of], (begin - first[of]).astype(np.int32), size.astype(np.int32))
+                yield pa.record_batch([pa.array(v) for v in values], schema=_USES)
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, segments to cut from it) to (anchor, seg_a, seg_b, doc_id, last, words)."""
+    names = ("anchor", "seg_a", "seg_b", "doc_id", "last")
+    for batch in batches:
+        for piece in pieces(batch, "text", 2 << 20):
+            wanted = piece.column(1)
+            flat = wanted.flatten()
+            edges = np.asarray(wanted.offsets) - (wanted.offsets[0].as_py() if len(wanted) else 0)
+            at, size = (flat.field(c).to_pylist() for c in ("at", "size"))
+            out = []
+            for i, text in enumerate(piece.column(0)):
+                words = text.as_buffer().to_pybytes().split()
+                out += [b" ".join(words[at[j] : at[j] + size[j]]) for j in range(edges[i], edges[i + 1])]
+            yield pa.record_batch([*(flat.field(c) for c in names), pa.array(out, pa.binary())], names=[*names, "words"])
+
+
 def _shards(window: int, shard_words: int):
-    """Segments in the order of their anchors to (seg_a, seg_b, smallest document of each window)."""
+    """Distinct segments in the order of their anchors to (seg_a, seg_b, smallest document of each window).
+
+    Results that can't be of use, as no document with the segment comes after one of them, are left out.
+    """
     none = (1 << 63) - 1
+    schema = pa.schema([("seg_a", pa.int64()), ("seg_b", pa.int64()), ("owners", pa.list_(pa.int64()))])
 
-    def results(groups: list[dict]) -> Iterator[tuple]:
-        """One automaton over whole anchor groups."""
-        distinct = {k: (owner, np.frombuffer(words, "<u8").tolist()) for g in groups for k, (owner, words) in g.items()}
+    def results(distinct: list[tuple]) -> Iterator[tuple]:
+        """One automaton over the segments (seg_a, seg_b, owner, last, words) of whole anchors."""
+        split = [x[4].split() for x in distinct]
         machine = SuffixAutomaton()
-        for owner, words in sorted(distinct.values(), key=lambda x: x[0]):
-            machine.add(words, owner)
-        for seg, (_, words) in distinct.items():
-            yield (*seg, machine.owners(words, window, none))
+        for k in sorted(range(len(distinct)), key=lambda k: distinct[k][2]):
+            machine.add(split[k], distinct[k][2])
+        for (a, b, _, last, _), words in zip(distinct, split, strict=True):
+            owners = machine.owners(words, window, none)
+            if min(owners) < last:
+                yield a, b, owners
 
     def large(file) -> Iterator[tuple]:
         """One anchor's segments, spilled: an automaton for each bounded part, all segments through each."""
@@ -223,9 +302,9 @@ def _shards(window: int, shard_words: int):
             machine, size, part = SuffixAutomaton(), 0, []
             try:
                 while size < shard_words:
-                    seg, owner, words = pickle.load(file)
-                    part.append((owner, np.frombuffer(words, "<u8").tolist()))
-                    size += len(words) // 8
+                    _, _, owner, _, words = pickle.load(file)
+                    part.append((owner, words.split()))
+                    size += len(part[-1][1])
             except EOFError:
                 pass
             if not part:
@@ -236,64 +315,58 @@ def _shards(window: int, shard_words: int):
             file.seek(0)
             try:
                 while True:
-                    seg, _, words = pickle.load(file)
-                    yield (*seg, machine.owners(np.frombuffer(words, "<u8").tolist(), window, none))
+                    a, b, _, last, words = pickle.load(file)
+                    owners = machine.owners(words.split(), window, none)
+                    if min(owners) < last:
+                        yield a, b, owners
             except EOFError:
                 pass
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], []]
+        out: list[tuple] = []
 
         def emit(rows: Iterator[tuple], all_now: bool = False) -> Iterator[pa.RecordBatch]:
             nonlocal out
             for row in rows:
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
-                if len(out[0]) >= 20_000:
-                    yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["seg_a", "seg_b", "owners"])
-                    out = [[], [], []]
-            if all_now and out[0]:
-                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["seg_a", "seg_b", "owners"])
+                out.append(row)
+                if len(out) >= 20_000:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out = []
+            if all_now and out:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        done: list[dict] = []
-        size, now, group, in_group, spill = 0, None, {}, 0, None
+        done: list[tuple] = []
+        group: list[tuple] = []
+        size, now, in_group, spill = 0, None, 0, None
 
         def close() -> Iterator[tuple]:
             nonlocal done, size, group, in_group, spill
             if spill is not None:
-                for seg, (owner, words) in group.items():
-                    pickle.dump((seg, owner, words), spill)
+                for x in group:
+                    pickle.dump(x, spill)
                 yield from large(spill)
                 spill.close()
-            elif len(group) == 1:  # nothing else to match: each window's first owner is the segment's
-                ((seg, (owner, words)),) = group.items()
-                yield (*seg, [owner] * (len(words) // 8 - window + 1))
-            elif group:
-                done.append(group)
+            else:
+                done += group
                 size += in_group
-            group, in_group, spill = {}, 0, None
+            group, in_group, spill = [], 0, None
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("anchor", "seg_a", "seg_b", "doc_id")]
-            body = batch.column(batch.schema.get_field_index("words"))
-            for anchor, a, b, doc_id, words in zip(*(c.to_pylist() for c in columns), body.to_pylist(), strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("anchor", "seg_a", "seg_b", "doc_id", "last", "words")]
+            for anchor, *segment in zip(*columns, strict=True):
                 if anchor != now:
                     yield from emit(close())
                     now = anchor
                     if size >= shard_words:
                         yield from emit(results(done))
                         done, size = [], 0
-                seen = group.get((a, b))
-                if seen is None:
-                    group[a, b] = (doc_id, words)
-                    in_group += len(words) // 8
-                    if in_group >= shard_words:
-                        spill = spill or tempfile.TemporaryFile()  # local scratch of this task alone
-                        for seg, (owner, w) in group.items():
-                            pickle.dump((seg, owner, w), spill)
-                        group, in_group = {}, 0
-                elif doc_id < seen[0]:
-                    group[a, b] = (doc_id, seen[1])
+                group.append(tuple(segment))
+                in_group += segment[4].count(b" ") + 1
+                if in_group >= shard_words:
+                    spill = spill or tempfile.TemporaryFile()  # local scratch of this task alone
+                    for x in group:
+                        pickle.dump(x, spill)
+                    group, in_group = [], 0
         yield from emit(close())
         yield from emit(results(done), True)
 
@@ -301,64 +374,77 @@ def _shards(window: int, shard_words: int):
 
 
 def _strip(window: int, with_text: bool):
-    """(doc_id, text, segments with the smallest documents of their windows) to what is left of each text."""
+    """(doc_id, text, segments with the smallest documents of their windows, one for all or one each) to what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            ids, spans = np.asarray(batch.column(0)), batch.column(2)
+            out: list[list] = [[], [], [], []]
+            ids, spans = batch.column(0).to_pylist(), batch.column(2)
             per_doc = np.asarray(spans.offsets)
-            at, owners = (spans.flatten().field(k) for k in ("at", "owners"))
-            edges = np.asarray(owners.offsets)
-            size = np.diff(edges)
-            place = np.repeat(np.asarray(at) - edges[:-1], size) + np.arange(edges[0], edges[-1])
-            smaller = np.asarray(owners.flatten()) < np.repeat(np.repeat(ids, np.diff(per_doc)), size)
-            edges = edges - edges[0]
-            for i, (doc_id, text) in enumerate(zip(ids.tolist(), batch.column(1), strict=True)):
+            at, size, owners = (spans.flatten().field(k) for k in ("at", "size", "owners"))
+            size = np.asarray(size).astype(np.int64) - window + 1
+            listed = np.asarray(owners.offsets)
+            owner = np.asarray(owners.flatten())
+            edges = np.append(0, np.cumsum(size))
+            inside = np.arange(edges[-1]) - np.repeat(edges[:-1], size)
+            place = np.repeat(np.asarray(at).astype(np.int64), size) + inside
+            known = np.array([x or 0 for x in ids], np.int64)  # rows without a doc_id have no spans
+            of = np.repeat(listed[:-1] - listed[:1], size) + np.where(np.repeat(np.diff(listed), size) > 1, inside, 0)
+            smaller = owner[of] < np.repeat(np.repeat(known, np.diff(per_doc)), size)
+            for i, text in enumerate(batch.column(1)):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 a, b = edges[per_doc[i] - per_doc[0]], edges[per_doc[i + 1] - per_doc[0]]
                 hit = place[a:b][smaller[a:b]]
-                hit = hit[hit + window <= len(words)]
-                gone = np.bincount(hit, minlength=len(words) + 1) - np.bincount(hit + window, minlength=len(words) + 1)
-                lost = np.cumsum(gone)[: len(words)] > 0
-                kept = b" ".join(w for w, x in zip(words, lost.tolist(), strict=True) if not x)
-                values = (doc_id, hashlib.sha256(b" ".join(words)).hexdigest(), int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8"))
+                lost, kept = 0, words
+                if len(hit):
+                    gone = np.bincount(hit, minlength=len(words) + 1) - np.bincount(hit + window, minlength=len(words) + 1)
+                    gone = np.cumsum(gone)[: len(words)] > 0
+                    lost, kept = int(gone.sum()), [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
+                body = b" ".join(kept)
+                values = (len(words), lost, hashlib.sha256(body).hexdigest(), body.decode("utf-8") if with_text and lost else None)
                 for column, v in zip(out, values, strict=True):
                     column.append(v)
-            names = ["doc_id", "sha256", "n_removed", "kept_sha256", "kept_text"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            n = 5 if with_text else 4
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out[:n], kinds, strict=False)], names=names[:n])
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            n = 4 if with_text else 3
+            yield pa.record_batch([batch.column(0), *columns[:n]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: n + 1])
 
     return run
 
 
-def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_words: int = SHARD_WORDS) -> DataFrame:
+def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = False, shard_words: int = SHARD_WORDS, together: int = TOGETHER) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and kept_text, null where nothing was removed)."""
     spark = docs.sparkSession
+    n = partitions(spark)
     read = doc_columns(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    base = written(read.mapInArrow(_scan(window, anchor), "doc_id long, n_words long, sha256 string, anchors array<long>"), "scan")
-    in_docs = base.where("doc_id is not null").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = in_docs.groupBy("anchor").count().where("count > 1").select("anchor")
-    hits = written(in_docs.join(shared, "anchor"), "hits")
+    known = read.where("doc_id is not null").withColumn("row", F.xxhash64("doc_id", text_key("text")))
+    packed = known.select("text", "row").mapInArrow(_scan(window, anchor, 4 * n, together), "bucket int, anchors binary, rows binary, known binary")
+    hits = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row long, anchor long"), "hits")
     release(spark)
-    per_doc = hits.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))  # no more than the document has words
-    segments = read.join(per_doc, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_segments(window, anchor), "kind int, anchor long, seg_a long, seg_b long, doc_id long, at long, words binary")
-    segments = written(segments, "segments", "kind")
+    listed = lambda t, what: t.groupBy("row").agg(F.collect_list(what).alias("listed"))  # noqa: E731  no more than a document has words
+    with_text = known.join(listed(hits, "anchor"), "row").select("doc_id", "text", "row", "listed")
+    uses = written(with_text.mapInArrow(_segments(window, anchor), "anchor long, seg_a long, seg_b long, row long, doc_id long, at int, size int"), "uses")
     drop(hits)
     release(spark)
-    dealt = segments.where("kind = 1").select("anchor", "seg_a", "seg_b", "doc_id", "words").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor")
-    owners = dealt.mapInArrow(_shards(window, shard_words), "seg_a long, seg_b long, owners array<long>")
-    uses = segments.where("kind = 0").select("seg_a", "seg_b", "doc_id", "at").join(owners, ["seg_a", "seg_b"])
-    uses = uses.where(F.array_min("owners") < F.col("doc_id"))
-    spans = written(uses.groupBy("doc_id").agg(F.collect_list(F.struct("at", "owners")).alias("spans")), "spans")
-    drop(segments)
+    first = F.min(F.struct("doc_id", "row", "at", "size")).alias("first")
+    distinct = uses.groupBy("anchor", "seg_a", "seg_b").agg(first, F.max("doc_id").alias("last"))
+    beside = F.count("*").over(Window.partitionBy("anchor"))
+    distinct = written(distinct.select("anchor", "seg_a", "seg_b", "first.*", "last", beside.alias("beside")), "distinct")
+    release(spark)
+    crowded = distinct.where("beside > 1")
+    parts = known.join(listed(crowded, F.struct("anchor", "seg_a", "seg_b", "doc_id", "last", "at", "size")), "row").select("text", "listed")
+    parts = parts.mapInArrow(_cut, "anchor long, seg_a long, seg_b long, doc_id long, last long, words binary")
+    dealt = parts.repartition(n, "anchor").sortWithinPartitions("anchor")
+    several = written(dealt.mapInArrow(_shards(window, shard_words), "seg_a long, seg_b long, owners array<long>"), "owners")
+    release(spark)
+    owners = several.union(distinct.where("beside = 1 and doc_id < last").select("seg_a", "seg_b", F.array("doc_id")))
+    found = uses.select("seg_a", "seg_b", "row", "doc_id", "at", "size").join(owners, ["seg_a", "seg_b"]).where(F.array_min("owners") < F.col("doc_id"))
+    spans = written(listed(found, F.struct("at", "size", "owners")).withColumnRenamed("listed", "spans"), "spans")
+    for table_ in (uses, distinct, several):
+        drop(table_)
     release(spark)
-    ddl = "doc_id long, sha256 string, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    less = read.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_strip(window, with_text), ddl).dropDuplicates(["doc_id", "sha256"])
-    out = base.select("doc_id", "n_words", "sha256").join(less, ["doc_id", "sha256"], "left")
-    columns = ["doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")]
-    return out.select(*columns, *(["kept_text"] if with_text else []))
+    none = F.lit(None).cast("array<struct<at: int, size: int, owners: array<bigint>>>")
+    both = known.join(spans, "row", "left").select("doc_id", "text", "spans").union(read.where("doc_id is null").select("doc_id", "text", none))
+    return both.mapInArrow(_strip(window, kept_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept_text)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
