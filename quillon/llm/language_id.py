@@ -195,14 +195,22 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str
                 columns = [piece.column(0), piece.column(1)]
                 for found in (counted(piece.column(2)), counted(pa.array(cuts, pa.large_binary()))):
                     edges = np.append(0, np.cumsum([len(x) for x, _ in found]))
-                    columns += [pa.LargeListArray.from_arrays(edges, np.concatenate([x[k] for x in found]).astype(np.int32)).cast(pa.list_(pa.int32())) for k in (0, 1)]
+                    columns += [pa.LargeListArray.from_arrays(edges, np.concatenate([x[k] for x in found]).astype(t)).cast(pa.list_(pa.from_numpy_dtype(t))) for k, t in enumerate((np.int16, np.int32))]
                 yield pa.record_batch(columns, names=["lang", "by", "bucket", "times", "short", "short_times"])
 
-    got = sample.mapInArrow(run, "lang string, by long, bucket array<int>, times array<int>, short array<int>, short_times array<int>").toArrow().sort_by([("by", "ascending"), ("lang", "ascending")])
-    lists = [got[c].combine_chunks() for c in ("bucket", "times", "short", "short_times")]
-    rows = [[tuple(np.asarray(x[i].values).astype(np.int64) for x in lists[:2]), tuple(np.asarray(x[i].values).astype(np.int64) for x in lists[2:])] for i in range(len(got))]
+    got = sample.mapInArrow(run, "lang string, by long, bucket array<short>, times array<int>, short array<short>, short_times array<int>").toArrow()  # at most ``most_rows`` rows of BUCKETS numbers
     drop(counts)
-    return train(rows, got["lang"].to_pylist())
+    rows, labels = [], []
+    for batch in got.to_batches():  # views of the numbers, no copies
+        part = [(np.asarray(batch[c].values), np.asarray(batch[c].offsets)) for c in ("bucket", "times", "short", "short_times")]
+        cut = lambda k, i: part[k][0][part[k][1][i] : part[k][1][i + 1]]  # noqa: B023, E731
+        rows += [[(cut(0, i), cut(1, i)), (cut(2, i), cut(3, i))] for i in range(batch.num_rows)]
+        labels += batch["lang"].to_pylist()
+    order = np.lexsort((np.array(labels, str), got["by"].to_numpy())).tolist() if labels else []
+    model = train([rows[i] for i in order], [labels[i] for i in order])
+    del rows, got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _id_text():
