@@ -174,3 +174,4 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa
         to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages, and what they hold with them
