@@ -162,8 +162,8 @@ def char_entropy(c: Column | str) -> Column:
 def dominant_script(c: Column | str) -> Column:
     """The script with most characters, the earlier on a tie, ``unknown`` if there is none."""
     counts = F.array(*[F.struct(F.regexp_count(col(c), F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, r) in enumerate(K.SCRIPTS)])
-    best = F.array_max(counts)
-    return F.when(best["n"] > 0, best["name"]).otherwise("unknown")
+    plain = F.when(col(c).rlike("[A-Za-z]"), "latin").otherwise("unknown")  # most texts, without counting eleven scripts
+    return F.when(~col(c).rlike(r"[^\x00-\x7F]"), plain).otherwise(let(F.array_max(counts), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("unknown")))
 
 
 _DIGITS_FROM = "".join(chr(z + i) for z in K.DIGIT_ZEROS for i in range(10))
@@ -233,7 +233,7 @@ def first_line_title(c: Column | str) -> Column:
 def script_language(c: Column | str) -> Column:
     """The language a text is read out in: that of the script with most characters, ``en`` where none has three."""
     counts = F.array(*[F.struct(F.regexp_count(col(c), F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, r) in enumerate(K.SPOKEN)])
-    return let(F.array_max(counts), lambda best: F.when(best["n"] >= 3, best["code"]).otherwise("en"))
+    return F.when(~col(c).rlike(r"[^\x00-\x7F]"), "en").otherwise(let(F.array_max(counts), lambda best: F.when(best["n"] >= 3, best["code"]).otherwise("en")))
 
 
 def heading_of(c: Column | str) -> Column:
