@@ -66,11 +66,10 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
-def _vec_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every twentieth vector asked of all vectors but itself."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label", vectors.sign_code(F.col("embedding")).alias("code"))
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("code").alias("q_code"), F.col("label").alias("q_label"))
-    return vectors.pairs(v, asked).where("vec_id <> query_id")
+def _nearest(spark: SparkSession, sf_dir: str, *strategies: str) -> DataFrame:
+    """Every twentieth vector asked of all vectors but itself: the best 24 by each strategy's measure."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", vectors.sign_code(F.col("embedding")).alias("code"))
+    return vectors.nearest(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), strategies, 24)
 
 
 def vec_binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +77,7 @@ def vec_binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.top_k(_vec_pairs(spark, sf_dir), 24, F.round(vectors.dot(F.col("embedding"), F.col("q")), 6))
-
-
-def _hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.top_k(_vec_pairs(spark, sf_dir), 24, vectors.hamming(F.col("code"), F.col("q_code")), better_high=False)
+    return _nearest(spark, sf_dir, "whole").withColumn("score", F.col("key") / 1e6)
 
 
 def vec_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,13 +85,12 @@ def vec_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hamming(spark, sf_dir).select("query_id", "vec_id", F.col("score").alias("dist"), "rank")
+    return _nearest(spark, sf_dir, "sentence").select("query_id", "vec_id", (-F.col("key")).alias("dist"), "rank")
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = lambda d, s, score: d.select("query_id", F.lit(s).alias("strategy"), F.col("vec_id").alias("id"), score.alias("score"), "rank")
-    one, two = _cosine(spark, sf_dir), _hamming(spark, sf_dir)
-    return fusion.fuse(hit(one, "whole", F.col("score")).union(hit(two, "sentence", 1 - F.col("score") / 64.0)))
+    score = F.when(F.col("strategy") == "whole", F.col("key") / 1e6).otherwise(1 + F.col("key") / 64.0)
+    return fusion.fuse(_nearest(spark, sf_dir, "whole", "sentence").select("query_id", "strategy", F.col("vec_id").alias("id"), score.alias("score"), "rank"))
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +104,9 @@ def fusion_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of queries with a hit of their own label among the first 1, 3, 5, 10, and the mean reciprocal rank to 10."""
     first = F.min(F.when((F.col("label") == F.col("q_label")) & (F.col("rank") <= 10), F.col("rank")))
-    q = _cosine(spark, sf_dir).groupBy("query_id").agg(first.alias("first"))
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    hits = _cosine(spark, sf_dir).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
+    q = hits.groupBy("query_id").agg(first.alias("first"))
     hits = [F.round(F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)), 6).alias(f"hit_{k}") for k in (1, 3, 5, 10)]
     return q.agg(F.count("*").alias("n"), *hits, F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
