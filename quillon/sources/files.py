@@ -45,11 +45,14 @@ def write_missing(df: DataFrame, path: str, by: str) -> list:
     return new
 
 
-def row_groups(spark: SparkSession, folder: str, paths: list[str], columns: str, most: int = 6) -> DataFrame:
+def row_groups(spark: SparkSession, folder: str, paths: list[str], columns: str, most: int | None = 6) -> DataFrame:
     """The first ``most`` row groups of each Parquet file of ``folder`` (a URI); a file that can't be read is skipped.
 
-    ``columns`` is a DDL of the columns read; one task reads one file.
+    ``columns`` is a DDL of the columns read; one task reads one file. Without ``most`` every row group is read: ``paths`` are
+    whatever Spark reads, a large file's row groups go to several tasks, and a file that can't be read is an error.
     """
+    if most is None:
+        return spark.read.schema(columns).parquet(*paths)
     names = [f.name for f in StructType.fromDDL(columns).fields]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,3 +51,14 @@ def test_searches_make_no_pairs(spark, monkeypatch):
     for name in ("vec_cosine_topk", "vec_hamming_topk", "rrf_fuse", "fusion_margin", "hit_at_k", "gate_retrieval", "rrf_agreement", "vec_int8_rescore", "source_search"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def test_row_group_scan_reads_all_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from quillon.plans.queries import QUERIES
+
+    lines = pq.read_table("/root/testdata/sf0.001/lineitem.parquet")
+    pq.write_table(lines, tmp_path / "lineitem.parquet", row_group_size=100)  # some sixty row groups
+    got = QUERIES["row_group_scan"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == len(lines) and len(got) == 10
