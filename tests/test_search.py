@@ -62,3 +62,27 @@ def test_row_group_scan_reads_all_row_groups(spark, tmp_path):
     pq.write_table(lines, tmp_path / "lineitem.parquet", row_group_size=100)  # some sixty row groups
     got = QUERIES["row_group_scan"](spark, str(tmp_path)).collect()
     assert sum(r.n for r in got) == len(lines) and len(got) == 10
+
+
+def test_probe_joins_no_more_than_the_cap_of_a_list(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 8))
+    v = spark.createDataFrame([(i, i // 2, 0 if i % 10 else 1, int(i * 7919 % 251)) for i in range(400)], "vec_id long, parent long, list_id int, code long")
+    q = spark.createDataFrame([(i, x[i].tolist(), i) for i in range(5)], "query_id long, embedding array<double>, code long")
+    c = spark.createDataFrame([(i, x[-1 - i].tolist()) for i in range(2)], "list_id int, centroid array<double>")
+    found = V.probe(v, q, c, 2, 10, cap=64, bits=8)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.dist))
+    for n in range(5):
+        near = sorted(range(2), key=lambda i: (-round(float(x[n] @ x[-1 - i]), 6), i))
+        rows = sorted((near.index(0 if i % 10 else 1), i) for i in range(400))[:64]
+        rows = sorted((bin(i * 7919 % 251 ^ n).count("1"), at, i) for at, i in rows)[:40]
+        kept, seen = [], set()
+        for dist, _, i in rows:
+            if i // 2 not in seen:
+                seen.add(i // 2)
+                kept.append((i, dist))
+        assert sorted(got[n]) == sorted(kept[:10])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit [list_id" in plan  # a list is cut before it is joined
