@@ -16,6 +16,9 @@ from quillon.functions import constants as K
 
 NOT_WORD = "[^\\p{L}\\p{N}\\p{M}‌‍\\s]"
 
+#: All white space: control characters that part text, blanks, and Unicode's separators (class Z).
+SPACE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,7 +31,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end, Unicode's included (Spark's trim takes blanks only)."""
-    return F.regexp_replace(col(c), "^[\\s\\p{Z}\\x1c-\\x1f\\x85]+|[\\s\\p{Z}\\x1c-\\x1f\\x85]+$", "")
+    return F.btrim(col(c), F.lit(SPACE))
 
 
 def raw_tokens(c: Column | str) -> Column:
@@ -159,11 +162,38 @@ def char_entropy(c: Column | str) -> Column:
     return let(col(c), of)
 
 
+def _by_script(c: Column, ranges: tuple[tuple[str, str], ...], then: Callable[[Column, Column], Column]) -> Column:
+    """``then`` of the characters that aren't ASCII and of (n, i, name), the range with most of them, the earlier on a tie.
+
+    A range's characters are taken out by runs and the next is counted in what is left, so that few characters are met often.
+    Ranges must not overlap.
+    """
+    order = sorted(range(len(ranges)), key=lambda i: ranges[i][1])
+
+    def count(other: Column, rest: Column, at: int, found: list[Column]) -> Column:
+        if at == len(order):
+            return let(F.array_max(F.array(*found)), lambda best: then(other, best))
+        i = order[at]
+        one = lambda left: F.struct((F.length(rest) - F.length(left)).alias("n"), F.lit(-i).alias("i"), F.lit(ranges[i][0]).alias("name"))
+        return let(F.regexp_replace(rest, f"[{ranges[i][1]}]+", ""), lambda left: count(other, left, at + 1, [*found, one(left)]))
+
+    return let(F.regexp_replace(c, r"[\x00-\x7F]+", ""), lambda other: count(other, other, 0, []))
+
+
 def dominant_script(c: Column | str) -> Column:
     """The script with most characters, the earlier on a tie, ``unknown`` if there is none."""
-    counts = F.array(*[F.struct(F.regexp_count(col(c), F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, r) in enumerate(K.SCRIPTS)])
-    plain = F.when(col(c).rlike("[A-Za-z]"), "latin").otherwise("unknown")  # most texts, without counting eleven scripts
-    return F.when(~col(c).rlike(r"[^\x00-\x7F]"), plain).otherwise(let(F.array_max(counts), lambda best: F.when(best["n"] > 0, best["name"]).otherwise("unknown")))
+
+    def of(text: Column) -> Column:
+        plain = F.when(text.rlike("[A-Za-z]"), "latin").otherwise("unknown")
+        latin = F.length(text) - F.length(F.regexp_replace(text, r"\p{Alpha}+", ""))  # counted only where it can matter
+
+        def then(other: Column, best: Column) -> Column:
+            fewer = F.length(text) - F.length(other) < best["n"]  # all of ASCII
+            return F.when(F.coalesce(best["n"], F.lit(0)) == 0, plain).when(fewer, best["name"]).when(latin >= best["n"], "latin").otherwise(best["name"])
+
+        return F.when(F.octet_length(text) == F.length(text), plain).otherwise(_by_script(text, K.SCRIPTS[1:], then))
+
+    return let(col(c), of)
 
 
 _DIGITS_FROM = "".join(chr(z + i) for z in K.DIGIT_ZEROS for i in range(10))
@@ -232,18 +262,21 @@ def first_line_title(c: Column | str) -> Column:
 
 def script_language(c: Column | str) -> Column:
     """The language a text is read out in: that of the script with most characters, ``en`` where none has three."""
-    counts = F.array(*[F.struct(F.regexp_count(col(c), F.lit(f"[{r}]")).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, r) in enumerate(K.SPOKEN)])
-    return F.when(~col(c).rlike(r"[^\x00-\x7F]"), "en").otherwise(let(F.array_max(counts), lambda best: F.when(best["n"] >= 3, best["code"]).otherwise("en")))
+    said = lambda _, best: F.when(best["n"] >= 3, best["name"]).otherwise("en")
+    return let(col(c), lambda text: F.when(F.octet_length(text) == F.length(text), "en").otherwise(_by_script(text, K.SPOKEN, said)))
 
 
 def heading_of(c: Column | str) -> Column:
     """The heading that a line is, or null: after # signs, or short without a full stop and in capitals or numbered."""
-    t = strip(c)
-    marked = F.regexp_extract(t, r"^#{1,6}\s+(.{1,90})$", 1)
-    letters = F.regexp_replace(t, r"[^\p{L}]", "")
-    short = (F.length(t) <= 80) & ~t.rlike(r"[.!?।]$")
-    capitals = (F.length(letters) >= 3) & (letters == F.upper(letters)) & letters.rlike("[A-Z]")
-    return F.when(marked != "", strip(marked)).when((t != "") & short & (capitals | t.rlike(r"^\d+(\.\d+)*\s+\S")), t)
+
+    def of(t: Column) -> Column:
+        of_letters = lambda x: (F.length(x) >= 3) & (x == F.upper(x)) & x.rlike("[A-Z]")
+        capitals = let(F.regexp_replace(t, r"[^\p{L}]+", ""), of_letters)
+        short = (t != "") & (F.length(t) <= 80) & ~t.rlike(r"[.!?।]$") & (t.rlike(r"^\d+(\.\d+)*\s+\S") | capitals)
+        unmarked = F.when(short, t)
+        return F.when(F.startswith(t, F.lit("#")), let(F.regexp_extract(t, r"^#{1,6}\s+(.{1,90})$", 1), lambda m: F.when(m != "", strip(m)).otherwise(unmarked))).otherwise(unmarked)
+
+    return let(strip(c), of)
 
 
 def ingest_normalise(c: Column | str, most: int = 600_000) -> Column:

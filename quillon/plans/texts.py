@@ -50,9 +50,13 @@ def txt_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def txt_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings among the lines of texts, plain and in capitals."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "[\\n.]")).alias("line", "t"))
-    lines = lines.withColumn("t", F.when(F.col("line") % 3 == 0, F.upper(F.call_function("replace", F.col("t"), F.lit("ß"), F.lit("ss")))).when(F.col("line") % 3 == 1, F.concat(F.lit("## "), "t")).otherwise(F.concat(F.lit("3.2 "), "t")))
-    return lines.select("doc_id", F.col("line").cast("long").alias("line"), T.heading_of("t").alias("heading")).where("heading is not null")
+
+    def line(t, i):
+        shaped = F.when(i % 3 == 0, F.upper(F.call_function("replace", t, F.lit("ß"), F.lit("ss")))).when(i % 3 == 1, F.concat(F.lit("## "), t)).otherwise(F.concat(F.lit("3.2 "), t))
+        return F.struct(i.cast("long").alias("line"), T.heading_of(shaped).alias("heading"))
+
+    found = F.filter(F.transform(F.split("text", "[\\n.]"), line), lambda x: x["heading"].isNotNull())  # judged once, not again in a filter
+    return _docs(spark, sf_dir).select("doc_id", F.inline_outer(found)).where("heading is not null")
 
 
 def txt_specifics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,32 @@ def test_probe_joins_no_more_than_the_cap_of_a_list(spark):
         assert sorted(got[n]) == sorted(kept[:10])
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit [list_id" in plan  # a list is cut before it is joined
+
+
+def test_scripts_and_headings_against_plain_rules(spark):
+    import random
+    import re
+
+    from quillon.functions import constants as K
+    from quillon.functions import text as T
+
+    rng = random.Random(4)
+    pool = "abzAZ 09.,-[`{~\u00e9\u0928\u0915\u0995\u0A15\u0627\u0D15\u1680"
+    texts = [None, "", " ", "\u00e9", "12.", *("".join(rng.choices(rng.sample(pool, 5), k=rng.randrange(1, 24))) for _ in range(600))]
+
+    def most(text, ranges, least, none):
+        n, at = max((len(re.findall(f"[{r}]", text or "")), -i) for i, (_, r) in enumerate(ranges))
+        return ranges[-at][0] if n >= least else none
+
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    c = d.select("id", T.dominant_script("text").alias("s"), T.script_language("text").alias("l"), T.strip("text").alias("t"))
+    space = "[\\s\\p{Z}\\x1c-\\x1f\\x85]+"
+    c = c.join(d.select("id", F.regexp_replace("text", f"^{space}|{space}$", "").alias("by_rule")), "id")
+    for r in c.collect():
+        assert (r.s, r.l) == (most(texts[r.id], K.SCRIPTS, 1, "unknown"), most(texts[r.id], K.SPOKEN, 3, "en")) and r.t == r.by_rule
+    # every character that the rule takes for white space, and no other
+    all_of = spark.range(1, 0x3100).where("id not between 55296 and 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("x"))
+    assert all_of.where((T.strip("x") == "") != F.col("x").rlike(f"^{space}$")).count() == 0
+    plan = lambda name: __import__("quillon.plans.queries").plans.queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("txt_heading").count("#{1,6}") == 1  # a line is judged once
+    assert "regexp_count" not in plan("txt_script") and "regexpcount" not in plan("txt_script").lower()
