@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -91,13 +92,21 @@ def normalise_space(c: Column | str) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(StringType())
-def blake2b_hex(s: pd.Series, size: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else hashlib.blake2b(x.encode(), digest_size=int(n)).hexdigest() for x, n in zip(s, size, strict=True)])
+def nfc(c: Column | str) -> Column:
+    """Composed characters. Python gets only texts with a character from U+0300 on: below it all are composed already."""
+    return F.coalesce(_nfc(F.when(col(c).rlike(r"[^\x00-\u02FF]"), col(c))), col(c))
+
+
+@F.arrow_udf(StringType())
+def blake2b_hex(s: pa.Array, size: pa.Array) -> pa.Array:
+    """Hashes of the texts' bytes as they lie in the batch, none of them made a Python string."""
+    out = pa.array([None if not x.is_valid else hashlib.blake2b(x.as_buffer(), digest_size=n.as_py()).hexdigest() for x, n in zip(s, size, strict=True)], pa.string())
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 @F.pandas_udf(StringType())

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quillon.functions.text import col, strip
+from quillon.functions.text import col, let, strip
 
 #: Elements dropped with their bodies, elements that end a line, and named entities, in the order they are read.
 DROPPED = ("script", "style", "noscript", "svg", "template")
@@ -31,17 +31,23 @@ def _decoded(c: Column) -> Column:
     """Named entities, then numbered ones."""
     for pattern, value in ENTITIES:
         c = F.regexp_replace(c, pattern, value.replace("$", r"\$"))
-    return _numbered(c)
+    return let(c, _numbered)
 
 
-@F.pandas_udf(StringType())
-def _numbered(s: pd.Series) -> pd.Series:
-    def one(m: re.Match) -> str:
-        code = int(m[1], 10) if m[1] else int(m[2], 16)
-        return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else ""
+def _numbered(c: Column) -> Column:
+    """``&#n;`` and ``&#xh;`` to their characters, nothing for a number without one, in one reading: no result is read again."""
+    numbered = r"&#(\d+);|&#[xX]([0-9a-fA-F]+);"
+
+    def one(m: Column) -> Column:
+        digits = F.regexp_replace(m, "^&#[xX]?0*|;$", "")
+        code = F.when(F.lower(F.substring(m, 3, 1)) == "x", F.when(F.length(digits) <= 6, F.conv(digits, 16, 10))).otherwise(F.when(F.length(digits) <= 7, digits))
+        wide = lambda n: F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")  # noqa: E731  the mark keeps a mark's own number
+        known = lambda n: F.when(n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), wide(n)).otherwise("")
+        return let(F.coalesce(F.when(digits != "", code), F.lit("0")).cast("long"), known)
 
-    numbered = re.compile(r"&#(\d+);|&#[xX]([0-9a-fA-F]+);")
-    return s.map(lambda x: x if x is None or "&#" not in x else numbered.sub(one, x))
+    parts, met = F.split(c, numbered, -1), F.regexp_extract_all(c, F.lit(numbered), F.lit(0))
+    joined = F.array_join(F.zip_with(parts, met, lambda p, m: F.concat(p, F.when(m.isNull(), "").otherwise(one(m)))), "")
+    return F.when(F.contains(c, F.lit("&#")), joined).otherwise(c)
 
 
 def html_text(c: Column | str) -> Column:

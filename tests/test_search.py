@@ -115,3 +115,33 @@ def test_scripts_and_headings_against_plain_rules(spark):
     plan = lambda name: __import__("quillon.plans.queries").plans.queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan("txt_heading").count("#{1,6}") == 1  # a line is judged once
     assert "regexp_count" not in plan("txt_script") and "regexpcount" not in plan("txt_script").lower()
+
+
+def test_plain_texts_and_pages_stay_out_of_python(spark):
+    """NFC and numbered entities: what they make of odd texts, and no text of a page or of Latin letters sent to a worker."""
+    import re
+    import unicodedata
+
+    from quillon.functions import text as T
+    from quillon.sources import web
+
+    texts = ["", None, "caf\u00e9", "cafe\u0301", "\u1100\u1161", "\u212b", "\u0928\u093c", "a\u0323\u0302", "\u2126 plain", "\U0001d15e"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for r in d.select("text", T.nfc("text").alias("n")).collect():
+        assert r.n == (None if r.text is None else unicodedata.normalize("NFC", r.text))
+    below = "".join(map(chr, range(0x300)))
+    assert all(unicodedata.normalize("NFC", a + b) == a + b for a in below[::7] for b in below)
+
+    def plain(x):
+        def one(m):
+            code = int(m[1], 10) if m[1] else int(m[2], 16)
+            return chr(code) if 0 < code <= 0x10FFFF and not 0xD800 <= code < 0xE000 else ""
+
+        return re.sub(r"&#(\d+);|&#[xX]([0-9a-fA-F]+);", one, x)
+
+    pages = ["", "&#", "&#;", "&#x;", "&#38;#60;", "a&#65;b&#x42;c", "&#0;&#00065;", "&#xD800;&#55296;", "&#1114111;&#1114112;", "&#x10FFFF;&#X110000;", "&#99999999999999999999999;x", "&#xfffffffffffffffffffffff;", "&#65279;z&#xFEFF;", "&#2325;&#128512;", "&#12", "x&#13;&#10;"]
+    p = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    got = p.select("html", web._decoded(F.col("html")).alias("t"))
+    for r in got.collect():
+        assert r.t == plain(r.html), r.html
+    assert "ArrowEvalPython" not in p.select(web.html_text("html"))._jdf.queryExecution().executedPlan().toString()
