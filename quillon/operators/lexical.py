@@ -43,15 +43,30 @@ def frequencies(posts: DataFrame, n: DataFrame, ceiling: bool = True) -> DataFra
 def scored(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, most_postings: int | None = None, ceiling: bool = True) -> DataFrame:
     """(query_id, id, score) of every passage that shares a term with the query.
 
-    Only postings of query terms are counted, and they carry their passage's length, so no other table of the corpus is
-    joined. With ``most_postings`` a query reads its terms rarest first and starts no term once that many postings are read.
+    The passages are read once. Only postings of query terms are counted, and they carry their passage's length, so no other
+    table of the corpus is joined. With ``most_postings`` a query reads its terms rarest first and starts no term once that many postings are read.
     Without ``ceiling`` (a user's own sources) no term is too frequent and no count is cut at 255.
     """
+    return scored_postings(*met_postings(passages, queries, id_col, text_col, query_id, query_text), most_postings, ceiling)
+
+
+def met_postings(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(id, len, term, tf, and the columns ``keep``) of the terms asked for, stored; and (query_id, term).
+
+    One reading of the passages: each has a row of the empty term too, which no token is, so that their number and lengths are
+    taken from what is stored.
+    """
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(T.content_set(query_text)).alias("term"))
-    toks = tokenised(passages, id_col, text_col)
-    one = stats(toks)
-    met = toks.select("id", "len", F.explode("toks").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    posts = stored(met.groupBy("id", "len", "term").agg((F.least(F.count("*"), F.lit(K.TF_MOST)) if ceiling else F.count("*")).alias("tf")), "postings")
+    toks = passages.select(F.col(id_col).alias("id"), *keep, T.content_tokens(text_col).alias("toks"))
+    toks = toks.select("id", *keep, F.size("toks").cast("long").alias("len"), F.explode(F.array_append("toks", F.lit(""))).alias("term"))
+    wanted = terms.select("term").union(queries.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    return stored(toks.join(wanted, "term", "left_semi").groupBy("id", *keep, "len", "term").agg(F.count("*").alias("tf")), "postings"), terms
+
+
+def scored_postings(met: DataFrame, terms: DataFrame, most_postings: int | None = None, ceiling: bool = True) -> DataFrame:
+    """``scored`` of ``met_postings``."""
+    one = stats(met.where("term = ''").withColumn("rows", F.explode(F.expr("sequence(1L, tf)"))))  # passages of one id and length are one row
+    posts = met.where("term <> ''").select("id", "len", "term", (F.least(F.col("tf"), F.lit(K.TF_MOST)) if ceiling else F.col("tf")).alias("tf"))
     asked = terms.join(frequencies(posts, one, ceiling), "term")
     if most_postings is not None:
         before = F.sum("df").over(Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1))

@@ -145,3 +145,18 @@ def test_plain_texts_and_pages_stay_out_of_python(spark):
     for r in got.collect():
         assert r.t == plain(r.html), r.html
     assert "ArrowEvalPython" not in p.select(web.html_text("html"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bm25_reads_the_passages_once(spark):
+    """What is stored gives lengths and frequencies: the plan that ranks reads no text again. Passages with one id count apart."""
+    from quillon.operators import lexical
+    from quillon.plans.queries import QUERIES
+
+    for name in ("bm25_topk", "source_bm25", "source_union"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan, name
+    d = spark.createDataFrame([(1, "red fox"), (1, "blue fox"), (2, "green tree"), (3, None), (4, "")], "id long, text string").fillna("", "text")
+    met, terms = lexical.met_postings(d, spark.createDataFrame([(7, "fox")], "q long, text string"), "id", "text", "q", "text")
+    hits = lexical.scored_postings(met, terms).collect()
+    assert [(h.query_id, h.id) for h in hits] == [(7, 1)]
+    assert met.where("term = ''").selectExpr("sum(tf)").first()[0] == 5
