@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from quillon.session import stored
+
 
 def write_jsonl(df: DataFrame, path: str, *by: str) -> None:
     """One object a line, a folder for each value of ``by``."""
@@ -87,19 +90,79 @@ def expected_bytes(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("bytes", (vectors + lexical + table + F.col("passages") * TEXT_BYTES).cast("long"))
 
 
+#: Rows that a block of ``text_shards`` has, about.
+SHARD_BLOCK = 100_000
+
+
+def _closing(block: pa.Table, most: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """A block in order, its bytes up to each text and with it, and which text closes a shard begun with each (their number: none)."""
+    block = block.sort_by([("id", "ascending"), ("n", "ascending")])
+    n = block["n"].to_numpy()
+    upto = np.cumsum(n)
+    return block, upto, np.searchsorted(upto, upto - n + most)
+
+
+def _outcomes(block: pa.Table, most: int) -> pa.Table:
+    """One row. For each text that may be the first to close a shard, in order: bytes up to it, shards closed, bytes held at the end."""
+    block, upto, ends = _closing(block, most)
+    n, total = len(upto), int(upto[-1])
+    closed, held = [0] * (n + 1), [0] * (n + 1)  # of a shard begun with that text
+    for i in range(n - 1, -1, -1):
+        e = int(ends[i])
+        if e < n:
+            closed[i], held[i] = closed[e + 1] + 1, held[e + 1]
+        else:
+            held[i] = total - (int(upto[i - 1]) if i else 0)
+    may = min(int(ends[0]) + 1, n)
+    out = {"total": [total], "upto": [upto[:may]], "closed": [[x + 1 for x in closed[1 : may + 1]]], "held": [held[1 : may + 1]]}
+    longs = pa.list_(pa.int64())
+    values = [pa.array(v, pa.int64() if k == "total" else longs) for k, v in out.items()]
+    return pa.Table.from_arrays([*block.slice(0, 1).drop_columns(["id", "n"]).columns, *values], names=[*(c for c in block.column_names if c not in ("id", "n")), *out])
+
+
+def _begun(blocks: pa.Table, most: int) -> pa.Table:
+    """The shard that each block of a group goes on with, and the bytes that it holds by then."""
+    blocks = blocks.sort_by("part")
+    shard, held, begun = 0, 0, []
+    for total, *lists in zip(blocks["total"].to_pylist(), *(blocks[c] for c in ("upto", "closed", "held"))):
+        begun.append((shard, held))
+        upto, closed, left = (x.values.to_numpy() for x in lists)
+        first = int(np.searchsorted(upto, most - held))
+        shard, held = (shard + int(closed[first]), int(left[first])) if first < len(upto) else (shard, held + total)
+    blocks = blocks.drop_columns(["total", "upto", "closed", "held"])
+    for name, values in zip(("shard", "held"), zip(*begun)):
+        blocks = blocks.append_column(name, pa.array(values, pa.int64()))
+    return blocks
+
+
+def _dealt(block: pa.Table, begun: pa.Table, most: int) -> pa.Table:
+    """A block's texts with their shards."""
+    block, upto, ends = _closing(block, most)
+    closes = np.zeros(len(upto), np.int64)
+    at = int(np.searchsorted(upto, most - begun["held"][0].as_py()))
+    while at < len(upto):
+        closes[at] = 1
+        at = int(ends[at + 1]) if at + 1 < len(upto) else len(upto)
+    shard = begun["shard"][0].as_py() + np.cumsum(closes) - closes
+    return block.drop_columns(["n", "part"]).append_column("shard", pa.array(shard))
+
+
 def text_shards(docs: DataFrame, id_col: str, text_col: str, by: str, most: int) -> DataFrame:
     """(by, id, shard): a group's texts in order of id, a shard closing with the text that brings it to ``most`` bytes.
 
-    Sizes only are folded, inside groups of ``by``, so that no order runs over the whole table; a text counts its UTF-8
-    bytes and eight more.
+    A text counts its UTF-8 bytes and eight more. Only sizes are folded, in blocks that are ranges of (by, id). What a block begins
+    with decides only which of its texts closes a shard first, and that is one of its first ``most`` bytes; from there on it
+    is the same. So each block gives the outcome for each of these, one row a block is folded inside a group, and the blocks are
+    dealt in parallel.
     """
     size = (F.octet_length(text_col) + 8).cast("long")
-    rows = F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), size.alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("held"), F.expr("cast(array() as array<bigint>)").alias("at"))
-
-    def step(acc, x):
-        full = acc["held"] + x["n"] >= most
-        return F.struct((acc["shard"] + full.cast("long")).alias("shard"), F.when(full, F.lit(0).cast("long")).otherwise(acc["held"] + x["n"]).alias("held"), F.array_append(acc["at"], acc["shard"]).alias("at"))
-
-    g = docs.where(F.col(text_col).isNotNull()).groupBy(by).agg(rows.alias("rows"))
-    return g.select(by, F.explode(F.arrays_zip(F.col("rows.id").alias("id"), F.aggregate("rows", start, step)["at"].alias("shard"))).alias("x")).select(by, "x.id", "x.shard")
+    most = max(most, 1)
+    sizes = stored(docs.where(F.col(text_col).isNotNull()).select(by, F.col(id_col).alias("id"), size.alias("n")), "sizes")
+    blocks = sizes.repartitionByRange(sizes.count() // SHARD_BLOCK + 1, by, F.asc_nulls_last("id"), "n").withColumn("part", F.spark_partition_id())
+    blocks = stored(blocks, "blocks")  # ranges are cut by samples, anew for each job
+    field = {f.name: f for f in blocks.schema.fields}
+    key, longs = [field[by], field["part"]], [StructField(c, LongType()) for c in ("total", "shard", "held")]
+    lists = [StructField(c, ArrayType(LongType())) for c in ("upto", "closed", "held")]
+    outcomes = blocks.groupBy(by, "part").applyInArrow(lambda b: _outcomes(b, most), StructType([*key, longs[0], *lists]))
+    begun = outcomes.groupBy(by).applyInArrow(lambda b: _begun(b, most), StructType([*key, *longs[1:]]))
+    return blocks.groupBy(by, "part").cogroup(begun.groupBy(by, "part")).applyInArrow(lambda b, s: _dealt(b, s, most), StructType([field[by], field["id"], longs[1]]))

@@ -1,5 +1,7 @@
 """The exact vector search against all pairs, and steps that must not grow with the square of the input or read part of it."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -160,3 +162,22 @@ def test_bm25_reads_the_passages_once(spark):
     hits = lexical.scored_postings(met, terms).collect()
     assert [(h.query_id, h.id) for h in hits] == [(7, 1)]
     assert met.where("term = ''").selectExpr("sum(tf)").first()[0] == 5
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_shards_in_blocks_are_a_plain_fold(spark, monkeypatch, block):
+    """Texts of one group in many blocks, small and large ones, null groups and repeated ids; no row holds a group's texts."""
+    from quillon.sources import files
+
+    monkeypatch.setattr(files, "SHARD_BLOCK", block)
+    rng = random.Random(18)
+    rows = [(i // 2 if i % 9 == 0 else i, rng.choice(["", "é" * rng.randrange(40), "x" * rng.randrange(9), "y" * 120, None]), rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    rows += [(1000 + i, "", "tiny") for i in range(60)] + [(2000, "z", "one")]
+    out = files.text_shards(spark.createDataFrame(rows, "doc long, text string, source string"), "doc", "text", "source", 100)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    want, state = [], {}
+    for doc, n, source in sorted((d, len(t.encode()) + 8, s or "") for d, t, s in rows if t is not None):
+        shard, held = state.get(source, (0, 0))
+        want.append((source, doc, shard))
+        state[source] = (shard + 1, 0) if held + n >= 100 else (shard, held + n)
+    assert sorted((r["source"] or "", r["id"], r["shard"]) for r in out.collect()) == sorted(want)
