@@ -181,3 +181,11 @@ def test_shards_in_blocks_are_a_plain_fold(spark, monkeypatch, block):
         want.append((source, doc, shard))
         state[source] = (shard + 1, 0) if held + n >= 100 else (shard, held + n)
     assert sorted((r["source"] or "", r["id"], r["shard"]) for r in out.collect()) == sorted(want)
+
+
+def test_shard_check_folds_no_source_in_one_row(spark):
+    from quillon.plans.sources import shard_check
+
+    out = shard_check(spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert all(r["complete"] for r in out.collect())
