@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import constants as K
@@ -22,6 +22,26 @@ def postings(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.least(F.count("*"), F.lit(K.TF_MOST)).alias("tf"))
 
 
+def counted(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, n): how often each row's text has each of its terms, counted inside the row as runs of its sorted tokens."""
+    toks = passages.select(F.col(id_col).alias("id"), F.sort_array(T.content_tokens(text_col)).alias("toks")).where(F.size("toks") > 0)
+    new = F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: (i == 0) | (F.get("toks", i) != F.get("toks", i - 1)))
+    runs = F.transform("new", lambda i, k: F.struct(F.get("toks", i).alias("term"), (F.coalesce(F.get("new", k + 1), F.size("toks")) - i).alias("n")))
+    return toks.withColumn("new", new).select("id", F.explode(runs).alias("x")).select("id", "x.term", "x.n")
+
+
+def dealt_postings(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``postings``, shuffled once: dealt by term and sorted by term and id, so that what groups or sorts terms shuffles no more.
+
+    A row's terms are distinct already, so nothing is combined before the shuffle; rows of one id, which lie together by then, are
+    one passage. The sort is all that a task holds, no table of its postings.
+    """
+    by = Window.partitionBy("term").orderBy("id")
+    tf = F.least(F.sum("n").over(by.rangeBetween(Window.currentRow, Window.currentRow)), F.lit(K.TF_MOST))
+    terms = counted(passages, id_col, text_col).repartition("term")
+    return terms.select("id", "term", tf.alias("tf"), (F.row_number().over(by) - F.rank().over(by)).alias("again")).where("again = 0").select("id", "term", "tf")
+
+
 def lengths(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, len): content tokens before any ceiling."""
     return tokenised(passages, id_col, text_col).select("id", "len")
@@ -32,12 +52,17 @@ def stats(lens: DataFrame) -> DataFrame:
     return lens.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
+def _most(n: Column) -> Column:
+    """Passages that a term under the ceiling may have."""
+    return F.greatest(F.lit(2), F.floor(n * K.DF_CEILING))
+
+
 def frequencies(posts: DataFrame, n: DataFrame, ceiling: bool = True) -> DataFrame:
     """(term, df) of the terms that at most max(2, 15 % of all) passages have, or of all terms."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     if not ceiling:
         return df
-    return df.crossJoin(F.broadcast(n.select("n"))).where(F.col("df") <= F.greatest(F.lit(2), F.floor(F.col("n") * K.DF_CEILING))).select("term", "df")  # one row
+    return df.crossJoin(F.broadcast(n.select("n"))).where(F.col("df") <= _most(F.col("n"))).select("term", "df")  # one row
 
 
 def scored(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, most_postings: int | None = None, ceiling: bool = True) -> DataFrame:
@@ -95,9 +120,14 @@ def search(passages: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     return top(scored(passages, queries, id_col, text_col, query_id, query_text, most_postings, ceiling), k)
 
 
-def sorted_postings(posts: DataFrame, df: DataFrame) -> DataFrame:
-    """Postings of the terms under the ceiling, dealt by term and sorted by term and passage: the layout of a stored index."""
-    return posts.join(df, "term").select("term", "df", "id", "tf").repartition("term").sortWithinPartitions("term", "id")
+def sorted_postings(posts: DataFrame, n: DataFrame) -> DataFrame:
+    """Postings of the terms under the ceiling, dealt by term and sorted by term and passage: the layout of a stored index.
+
+    A term's postings are counted where they lie: ``dealt_postings`` are neither joined nor shuffled nor sorted again.
+    """
+    own = Window.partitionBy("term").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    posts = posts.withColumn("df", F.count("*").over(own)).where(F.col("df") <= _most(n.select("n").scalar()))
+    return posts.select("term", "df", "id", "tf").sortWithinPartitions("term", "id")
 
 
 def offsets(df: DataFrame, bins: int = 256) -> DataFrame:

@@ -53,16 +53,15 @@ def hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each term's postings begin in the list of all."""
     d = _docs(spark, sf_dir)
-    df = lexical.frequencies(lexical.postings(d, "doc_id", "text"), lexical.stats(lexical.lengths(d, "doc_id", "text")))
+    df = lexical.frequencies(lexical.dealt_postings(d, "doc_id", "text"), lexical.stats(lexical.lengths(d, "doc_id", "text")))
     return lexical.offsets(df)
 
 
 def postings_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored postings, a term's together and in order of documents; summed up by term."""
     d = _docs(spark, sf_dir)
-    posts = lexical.postings(d, "doc_id", "text")
-    df = lexical.frequencies(posts, lexical.stats(lexical.lengths(d, "doc_id", "text")))
-    return lexical.sorted_postings(posts, df).groupBy("term").agg(F.first("df").alias("df"), F.sum("tf").alias("tf"), F.min("id").alias("first"), F.max("id").alias("last"))
+    posts = lexical.dealt_postings(d, "doc_id", "text")
+    return lexical.sorted_postings(posts, lexical.stats(lexical.lengths(d, "doc_id", "text"))).groupBy("term").agg(F.first("df").alias("df"), F.sum("tf").alias("tf"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 def chunk_parent_join(spark: SparkSession, sf_dir: str) -> DataFrame:

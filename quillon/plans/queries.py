@@ -57,7 +57,7 @@ def lex_doclen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lex_df_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return lexical.frequencies(lexical.postings(d, "doc_id", "text"), lexical.stats(lexical.lengths(d, "doc_id", "text")))
+    return lexical.frequencies(lexical.dealt_postings(d, "doc_id", "text"), lexical.stats(lexical.lengths(d, "doc_id", "text")))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

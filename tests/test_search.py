@@ -189,3 +189,16 @@ def test_shard_check_folds_no_source_in_one_row(spark):
     out = shard_check(spark, "/root/testdata/sf0.001")
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert all(r["complete"] for r in out.collect())
+
+
+def test_postings_are_shuffled_once(spark):
+    """Rows of one id are one passage, counts stop at 255, and the only shuffle by a key is that of the postings by term."""
+    from quillon.operators import lexical
+
+    d = spark.createDataFrame([(1, "fox fox owl"), (1, "fox"), (2, "owl " * 300), (3, ""), (4, None), (5, "the of and"), (6, "ant"), (7, "owl")], "id long, text string")
+    posts = lexical.dealt_postings(d, "id", "text")
+    assert sorted(tuple(r) for r in posts.collect()) == sorted([(1, "fox", 3), (1, "owl", 1), (2, "owl", 255), (7, "owl", 1), (5, "the", 1), (5, "of", 1), (5, "and", 1), (6, "ant", 1)])
+    out = lexical.sorted_postings(posts, lexical.stats(d.select("id", F.lit(1).alias("len")))).groupBy("term").agg(F.first("df").alias("df"), F.sum("tf").alias("tf"))
+    assert sorted(tuple(r) for r in out.collect()) == sorted([("fox", 1, 3), ("the", 1, 1), ("of", 1, 1), ("and", 1, 1), ("ant", 1, 1)])  # owl: 3 of 8 are more than 2
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning") == 1, plan
