@@ -191,6 +191,24 @@ def test_shard_check_folds_no_source_in_one_row(spark):
     assert all(r["complete"] for r in out.collect())
 
 
+def test_shard_check_deals_one_source_over_blocks(spark, monkeypatch, tmp_path):
+    """All texts in one source, some null, some without a source: no block holds much more than its share, and all are counted."""
+    from quillon.plans.sources import shard_check
+    from quillon.sources import files
+
+    kept, stored = {}, files.stored
+    monkeypatch.setattr(files, "SHARD_BLOCK", 100)
+    monkeypatch.setattr(files, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    docs = spark.range(2000).selectExpr("id as doc_id", "case when id % 50 != 0 then repeat('x', int(id % 997) * 9) end as text", "case when id % 70 != 0 then 'one' end as source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = shard_check(spark, str(tmp_path)).collect()
+    want = docs.where("text is not null and source is not null").count()
+    assert [tuple(r) for r in out] == [("one", want, want, True)]
+    sizes = [r["count"] for r in kept["blocks"].groupBy("source", "part").count().collect()]
+    assert sum(sizes) == docs.where("text is not null").count()
+    assert max(sizes) < 300, sizes
+
+
 def test_postings_are_shuffled_once(spark):
     """Rows of one id are one passage, counts stop at 255, and the only shuffle by a key is that of the postings by term."""
     from quillon.operators import lexical
